@@ -5,7 +5,9 @@ from __future__ import annotations
 import importlib
 
 _NAMES = (
+    "kk_sharding",
     "redirect_filter",
+    "bestfit_packing",
     "decontaminate",
 )
 
