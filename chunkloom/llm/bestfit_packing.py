@@ -15,7 +15,6 @@ by one; an empty table gives an empty result. Only doc_id and text are read.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -25,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkloom.llm.common import Scratch, slices, table
+from chunkloom.llm.common import Scratch, _powers, mix64, slices, table
 from chunkloom.llm.kk_sharding import slots
 
 CAPACITY = 2048
@@ -34,10 +33,19 @@ TOKENIZER = "word_bpe_49k.json"
 #: Distinct words that a worker remembers; beyond, it starts afresh.
 CACHE_WORDS = 1_500_000
 
-#: The alphabet on which Python's lower-casing and classes agree with the tokenizer's.
-_FAST = re.compile("[ -~\t\n\rÀ-ÖØ-öø-ÿ]*")
-_WORD = re.compile("[a-zß-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^ \t\n\ra-z0-9ß-öø-ÿ]+")
-_SPECIAL = re.compile(r"<\|(?:startoftext|endoftext)\|>")
+# Byte classes of the cache's alphabet: blanks, letters, digits (a word each), other printable
+# ASCII (in runs), and what sends a text to the tokenizer whole. Two-byte characters that start
+# with 0xC3 are letters, but for the signs of multiplication and division.
+_BLANK, _LETTER, _DIGIT, _OTHER, _AWAY = range(5)
+_CLASS = np.full(256, _AWAY, np.uint8)
+_CLASS[32:127] = _OTHER
+_CLASS[[9, 10, 13, 32]] = _BLANK
+_CLASS[ord("0") : ord("9") + 1] = _DIGIT
+_CLASS[ord("A") : ord("Z") + 1] = _CLASS[ord("a") : ord("z") + 1] = _LETTER
+_CLASS[0x80:0xC0] = _CLASS[0xC3] = _LETTER
+_CLASS[ord("'")] = _AWAY  # contractions
+_LOW = np.arange(256, dtype=np.uint8)
+_LOW[ord("A") : ord("Z") + 1] += 32
 
 
 def tokenizer_path(name: str) -> str:
@@ -49,7 +57,7 @@ def tokenizer_path(name: str) -> str:
 
 
 class WordCache:
-    """Ids of texts by a cache over the tokenizer's words."""
+    """Ids of texts by a cache, keyed by a 64-bit hash, over the tokenizer's words."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -58,64 +66,76 @@ class WordCache:
         self.clear()
 
     def clear(self) -> None:
-        self.code: dict[str, int] = {}
-        self.n = 0
-        self.used = 0
-        self.first = np.zeros(1 << 12, np.int64)
-        self.len = np.zeros(1 << 12, np.int64)
-        self.flat = np.zeros(1 << 14, np.uint32)
-
-    def _grow(self, a: np.ndarray, n: int) -> np.ndarray:
-        if len(a) < n:
-            b = np.zeros(max(n, 2 * len(a)), a.dtype)
-            b[: len(a)] = a
-            return b
-        return a
-
-    def learn(self, new: list[str]) -> None:
+        self.keys = np.zeros(0, np.uint64)  # sorted
+        self.first = self.len = np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.uint32)
+
+    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
         """Encode distinct words in one string; blanks keep them apart and have no ids."""
-        e = self.tok.encode(" ".join(new), add_special_tokens=False)
-        n = np.bincount(np.asarray(e.word_ids, np.int64), minlength=len(new))
-        self.first = self._grow(self.first, self.n + len(new))
-        self.len = self._grow(self.len, self.n + len(new))
-        self.flat = self._grow(self.flat, self.used + int(n.sum()))
-        self.len[self.n : self.n + len(new)] = n
-        self.first[self.n : self.n + len(new)] = self.used + np.cumsum(n) - n
-        self.flat[self.used : self.used + int(n.sum())] = e.ids
-        self.code.update(zip(new, range(self.n, self.n + len(new)), strict=True))
-        self.n += len(new)
-        self.used += int(n.sum())
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text, as the tokenizer gives them."""
-        out: list = [np.zeros(0, np.uint32)] * len(texts)
-        if self.n > CACHE_WORDS:
+        e = self.tok.encode(" ".join(words), add_special_tokens=False)
+        n = np.bincount(np.asarray(e.word_ids, np.int64), minlength=len(words))
+        first = len(self.flat) + np.cumsum(n) - n
+        self.flat = np.concatenate([self.flat, np.asarray(e.ids, np.uint32)])
+        at = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, at, keys)
+        self.first = np.insert(self.first, at, first)
+        self.len = np.insert(self.len, at, n)
+
+    def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number for each text) of the texts data[off[i]:off[i+1]], as the tokenizer gives them."""
+        n_docs = len(off) - 1
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(n_docs, np.int64)
+        kind = _CLASS[data]
+        bad = kind == _AWAY
+        two = np.flatnonzero((data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7)))
+        bad[two] = True
+        bad[np.flatnonzero((data[:-1] == ord("<")) & (data[1:] == ord("|")))] = True
+        away = np.zeros(n_docs, bool)
+        at = np.flatnonzero(bad)
+        if len(at):
+            away[np.searchsorted(off, at, side="right") - 1] = True
+        low = _LOW[data]
+        upper = np.flatnonzero((data[1:] >= 0x80) & (data[1:] < 0x9F) & (data[:-1] == 0xC3)) + 1
+        low[upper] += 32
+        edge = off[(off > 0) & (off < len(data))]
+        starts = np.ones(len(data), bool)
+        starts[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+        starts[edge] = True
+        begin = np.flatnonzero(starts)
+        end = np.append(begin[1:], len(data))
+        owner = np.searchsorted(off, begin, side="right") - 1
+        word = (kind[begin] != _BLANK) & ~away[owner]
+        begin, end, owner = begin[word], end[word], owner[word]
+        if len(self.keys) > CACHE_WORDS:
             self.clear()
-        words, counts, where = [], [], []
-        for i, text in enumerate(texts):
-            if not text:
-                continue
-            if _FAST.fullmatch(text) is None or ("<|" in text and _SPECIAL.search(text)):
-                out[i] = np.asarray(self.tok.encode(text, add_special_tokens=False).ids, np.uint32)
-                continue
-            w = _WORD.findall(text.lower())
-            words += w
-            counts.append(len(w))
-            where.append(i)
-        if not words:
-            return out
-        codes = list(map(self.code.get, words))
-        if None in codes:
-            self.learn(list(dict.fromkeys(w for w, c in zip(words, codes, strict=True) if c is None)))
-            codes = list(map(self.code.__getitem__, words))
-        c = np.array(codes, np.int64)
-        n = self.len[c]
+        p, q = _powers(len(data) + 1)
+        acc = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((low.astype(np.uint64) + np.uint64(1)) * p[:-1], out=acc[1:])
+        h = mix64((acc[end] - acc[begin]) * q[begin] + (end - begin).astype(np.uint64))
+        keys, where, back = np.unique(h, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.keys, keys)
+        known = at < len(self.keys)
+        known[known] = self.keys[at[known]] == keys[known]
+        if not known.all():
+            new = np.flatnonzero(~known)
+            raw = low.tobytes()
+            self._learn(keys[new], [raw[begin[w] : end[w]].decode() for w in where[new]])
+            at = np.searchsorted(self.keys, keys)
+        n = self.len[at][back]
         ends = np.cumsum(n)
-        flat = self.flat[np.arange(ends[-1]) + np.repeat(self.first[c] - ends + n, n)]
-        cut = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
-        for k, i in enumerate(where):
-            out[i] = flat[cut[k] : cut[k + 1]]
-        return out
+        total = int(ends[-1]) if len(ends) else 0
+        flat = self.flat[np.arange(total) + np.repeat(self.first[at][back] - ends + n, n)]
+        counts = np.bincount(owner, weights=n, minlength=n_docs).astype(np.int64)
+        if away.any():
+            raw = data.tobytes()
+            cut = np.concatenate([[0], np.cumsum(counts)])
+            parts = [flat[cut[i] : cut[i + 1]] for i in range(n_docs)]
+            for i in np.flatnonzero(away):
+                parts[i] = np.asarray(self.tok.encode(raw[off[i] : off[i + 1]].decode(), add_special_tokens=False).ids, np.uint32)
+                counts[i] = len(parts[i])
+            flat = np.concatenate(parts)
+        return flat, counts
 
 
 _CACHES: dict[str, WordCache] = {}
@@ -129,14 +149,19 @@ def _pieces(path: str, capacity: int):
         cache = _CACHES.get(full) or _CACHES.setdefault(full, WordCache(full))
         for batch in batches:
             rows: list[list] = [[], [], [], [], []]
-            docs, texts = batch.column(0).to_pylist(), batch.column(1)
-            encoded = (e for i, j, _, _ in slices(batch, "text", 1 << 20) for e in cache.encode(texts[i:j].to_pylist()))
-            for doc, ids in zip(docs, encoded, strict=True):
-                tokens = np.append(ids, np.uint32(END_ID)).astype("<u4")
-                for p, at in enumerate(range(0, len(tokens), capacity)):
-                    part = tokens[at : at + capacity]
-                    for to, x in zip(rows, (doc, p, at, len(part), zlib.crc32(part.tobytes())), strict=True):
-                        to.append(x)
+            docs = batch.column(0).to_pylist()
+            for i, j, data, off in slices(batch, "text"):
+                flat, counts = cache.encode(data, off)
+                last = np.cumsum(counts)
+                closed = np.insert(flat, last, END_ID).astype("<u4")
+                bounds = np.concatenate([[0], last + np.arange(1, j - i + 1)]).tolist()
+                raw = memoryview(closed).cast("B")
+                for k in range(j - i):
+                    a, b = bounds[k], bounds[k + 1]
+                    for p, at in enumerate(range(a, b, capacity)):
+                        to = min(at + capacity, b)
+                        for col, x in zip(rows, (docs[i + k], p, at - a, to - at, zlib.crc32(raw[4 * at : 4 * to])), strict=True):
+                            col.append(x)
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
