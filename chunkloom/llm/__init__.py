@@ -7,8 +7,11 @@ import importlib
 _NAMES = (
     "kk_sharding",
     "redirect_filter",
+    "chunk_dedup",
     "bestfit_packing",
+    "chosen_path",
     "decontaminate",
+    "pairwise_quality",
 )
 
 
