@@ -10,6 +10,7 @@ _NAMES = (
     "chunk_dedup",
     "bestfit_packing",
     "chosen_path",
+    "toxicity_gru",
     "decontaminate",
     "pairwise_quality",
 )
