@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib
 
 _NAMES = (
+    "vector_graph",
     "kk_sharding",
     "redirect_filter",
     "chunk_dedup",

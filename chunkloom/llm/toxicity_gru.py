@@ -5,7 +5,8 @@ of its character trigrams. Windows of WINDOW words that overlap by a quarter cov
 Two GRUs read a window from both ends, attention pools their states, and a logistic unit scores
 the window; a document's score is that of its highest window. Training is by multiple instances:
 each epoch picks every document's highest window under the present weights and takes Adam steps
-on it. The first component of the vectors starts at the log-odds of the word or trigram.
+on it. The first component of the vectors starts at the log-odds of the word, or their mean
+over the words with a trigram.
 
 Labels are learnt from at most MAX_TRAIN documents of each label, those of smallest hash of
 doc_id, and never from held-out ones: crc32(doc_id as text) mod 3 = 1.
@@ -246,9 +247,10 @@ def fit(texts: list[bytes], y: np.ndarray, epochs: int = EPOCHS, seed: int = 3)
     odds, df = _odds(w.word, doc, y, len(w.hashes))
     frequent = np.flatnonzero(df >= MIN_COUNT)
     frequent = np.sort(frequent[np.argsort(-df[frequent], kind="stable")[:MAX_VOCABULARY]])
-    tri_doc = np.repeat(doc, w.tri_n[w.word])
-    tri_odds, _ = _odds(w.tri[_ranges((np.cumsum(w.tri_n) - w.tri_n)[w.word], w.tri_n[w.word])], tri_doc, y, TRIGRAMS)
-    m = new_model(w.hashes[frequent], odds[frequent], tri_odds * 0.3)
+    # A trigram starts at the mean of the words that hold it.
+    held = np.bincount(w.tri, minlength=TRIGRAMS)
+    tri_odds = np.bincount(w.tri, weights=np.repeat(odds * (df >= MIN_COUNT), w.tri_n), minlength=TRIGRAMS) / (held + 10)
+    m = new_model(w.hashes[frequent], odds[frequent], tri_odds)
     rng = np.random.default_rng(seed)
     mom = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in m.items() if k != "vocabulary"}
     balance = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) ** 0.5
