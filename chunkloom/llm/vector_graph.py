@@ -5,10 +5,10 @@
    centres and to those within MARGIN of the best, so shards overlap. A shard above SHARD points is dealt into blocks, and every pair
    of blocks is a shard, so that a large group of near copies is shared out and no pair is lost.
 3. In each shard every point's nearest points are pruned robustly (a candidate goes if one kept
-   before is nearer to it by the factor ALPHA) into an adjacency list of at most DEGREE.
+   before is nearer to it by the factor ALPHA) to at most DEGREE; both ends list an edge.
 4. The lists of all shards are united for each point.
 5. In each shard all its points are queries: a greedy search over the united lists starts at the
-   shard's medoids and keeps a beam; as soon as it meets points within the range it expands
+   medoids of the shard's parts and keeps a beam; as soon as it meets points within the range it expands
    through all of them. What is found is verified by cosine in double precision.
 6. A pair found in several shards counts once: in the first common one. A shard returns one row
    per point, with its number of links and one edge of a spanning forest, and never pairs.
@@ -46,6 +46,10 @@ DEGREE = 24
 CANDIDATES = 48
 ALPHA = 1.2
 BEAM = 16
+#: Starts of a search besides the medoids.
+SPREAD = 64
+#: The search expands points of a cosine this much below the range too, as paths between neighbours pass there.
+SLACK = 0.05
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -126,7 +130,7 @@ def _build(degree: int, candidates: int, alpha: float):
         for i, row in enumerate(near):
             for j in row:
                 back[j].append(i)
-        return pd.DataFrame({"point": point, "near": [point[sorted({*a, *b[:degree]})] for a, b in zip(near, back, strict=True)]})
+        return pd.DataFrame({"point": point, "near": [point[sorted({*a, *b})] for a, b in zip(near, back, strict=True)]})
 
     return run
 
@@ -138,14 +142,19 @@ def search_ranges(x: np.ndarray, lists: list[np.ndarray], least: float, beam: in
     on the search expands every point in range that it has met, until it meets no more.
     """
     n = len(x)
-    width = max((len(a) for a in lists), default=0)
-    adj = np.full((n, max(1, width)), n, np.int64)
-    for i, a in enumerate(lists):
-        adj[i, : len(a)] = a
+    degree = np.array([len(a) for a in lists])
+    first, adj = np.cumsum(degree) - degree, np.concatenate(lists).astype(np.int64)
+
+    def expand(q: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each query with all neighbours of its point."""
+        d = degree[v]
+        ends = np.cumsum(d)
+        return np.repeat(q, d), adj[np.arange(ends[-1]) + np.repeat(first[v] - ends + d, d)]
+
     xx = np.concatenate([x, np.zeros((1, x.shape[1]), x.dtype)])
     seen = np.zeros((n, n + 1), bool)
     seen[:, n] = True
-    found = np.zeros((n, n + 1), bool)
+    found, near = np.zeros((2, n, n + 1), bool)
     beam_id = np.full((n, beam), n, np.int64)
     beam_sim = np.full((n, beam), -2.0, np.float32)
     beam_open = np.zeros((n, beam), bool)
@@ -161,6 +170,7 @@ def search_ranges(x: np.ndarray, lists: list[np.ndarray], least: float, beam: in
         for k in range(0, len(q), 1 << 18):
             sim[k : k + (1 << 18)] = np.einsum("ij,ij->i", xx[q[k : k + (1 << 18)]], xx[v[k : k + (1 << 18)]])
         found[q, v] = sim >= least
+        near[q, v] = sim >= least - SLACK
         return q, v, sim
 
     def into_beam(q: np.ndarray, v: np.ndarray, sim: np.ndarray) -> None:
@@ -188,22 +198,46 @@ def search_ranges(x: np.ndarray, lists: list[np.ndarray], least: float, beam: in
         pick = np.where(beam_open[live], beam_sim[live], -3).argmax(1)
         v = beam_id[live, pick]
         beam_open[live, pick] = False
-        q2 = np.repeat(live, adj.shape[1])
-        got = meet(q2, adj[v].reshape(-1))
+        got = meet(*expand(live, v))
         if len(got[0]):
             into_beam(*got)
-    q, v = np.nonzero(found[:, :n])
+    q, v = np.nonzero(near[:, :n])
     while len(q):
         parts = []
         for k in range(0, len(q), 1 << 15):
-            got = meet(np.repeat(q[k : k + (1 << 15)], adj.shape[1]), adj[v[k : k + (1 << 15)]].reshape(-1))
-            ok = got[2] >= least
+            got = meet(*expand(q[k : k + (1 << 15)], v[k : k + (1 << 15)]))
+            ok = got[2] >= least - SLACK
             parts.append((got[0][ok], got[1][ok]))
         q, v = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
     found = found[:, :n]
     return found | found.T
 
 
+def _lowest(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The smallest number in each node's component."""
+    lab = np.arange(n)
+    while True:
+        was = lab.copy()
+        np.minimum.at(lab, u, lab[v])
+        np.minimum.at(lab, v, lab[u])
+        lab = lab[lab]
+        if (lab == was).all():
+            return lab
+
+
+def medoids(x: np.ndarray, lists: list[np.ndarray]) -> np.ndarray:
+    """The medoid of each connected part of the graph, so that no pocket is out of reach, and evenly spread points."""
+    n = len(x)
+    lab = _lowest(n, np.repeat(np.arange(n), [len(a) for a in lists]), np.concatenate(lists).astype(np.int64))
+    _, part = np.unique(lab, return_inverse=True)
+    middle = np.zeros((part.max() + 1, x.shape[1]))
+    np.add.at(middle, part, x)
+    near = np.einsum("ij,ij->i", x, middle[part])
+    order = np.lexsort((-near, part))
+    first = order[np.concatenate([[True], part[order][1:] != part[order][:-1]])]
+    return np.unique(np.concatenate([first, np.arange(0, n, max(1, n // SPREAD))]))
+
+
 def _search(least: float, beam: int):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         shard = int(key[0])
@@ -217,8 +251,7 @@ def _search(least: float, beam: int):
             at = np.searchsorted(point, a)
             at[at == n] = 0
             lists.append(np.unique(at[point[at] == a]))
-        middle = _unit(x.mean(0, keepdims=True) + 1e-12)[0]
-        starts = np.unique(np.concatenate([[(x @ middle).argmax()], np.arange(0, n, max(1, n // 8))]))
+        starts = medoids(x, lists)
         found = search_ranges(x.astype(np.float32), lists, least - 1e-4, beam, starts)
         np.fill_diagonal(found, False)
         u, v = np.nonzero(np.triu(found))
@@ -242,14 +275,7 @@ def _search(least: float, beam: int):
         links = np.zeros(n, np.int64)
         np.add.at(links, u[first], w[v[first]])
         np.add.at(links, v[first], w[u[first]])
-        lab = np.arange(n)
-        while True:
-            was = lab.copy()
-            np.minimum.at(lab, u, lab[v])
-            np.minimum.at(lab, v, lab[u])
-            lab = lab[lab]
-            if (lab == was).all():
-                break
+        lab = _lowest(n, u, v)
         hit = np.zeros(n, bool)
         hit[u] = hit[v] = True
         return pd.DataFrame({"point": point[hit], "links": links[hit], "low": point[lab[hit]]})
