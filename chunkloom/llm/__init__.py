@@ -6,6 +6,7 @@ import importlib
 
 _NAMES = (
     "vector_graph",
+    "chat_tools",
     "kk_sharding",
     "redirect_filter",
     "chunk_dedup",
