@@ -26,7 +26,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,12 +36,16 @@ from chunkloom.llm.components import connected_components
 WORDS = 5
 THRESHOLD = 0.8
 RECALL = 0.99999
-COORDINATES = 48
+COORDINATES = 32
+#: Coordinates that a pair must share to be compared; at similarity 0.8 one in a million has fewer.
+MIN_SHARED = 13
 #: Sets in a bucket that one task compares; larger ones are split or compared in blocks.
-LEAF = 256
+LEAF = 1024
 MAX_SPLITS = 2
+#: Bits of the bitmap of candidates that lets scans skip the other documents, whatever their number.
+BITMAP_BITS = 1 << 26
 
-_SEEDS = mix64(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+_SEEDS = (mix64(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)).astype(np.uint32)
 
 
 def runs_for(recall: float, threshold: float) -> int:
@@ -67,9 +70,13 @@ def _sketch(k: int):
                 sig = np.zeros((len(full), COORDINATES), np.int32)
                 a, b = np.zeros(j - i, np.uint64), np.zeros(j - i, np.uint64)
                 if len(full):
+                    short = (h >> np.uint64(32)).astype(np.uint32)
+                    x, y = np.empty_like(short), np.empty_like(short)
                     for c in range(COORDINATES):
-                        x = h * _SEEDS[c]
-                        sig[:, c] = (np.minimum.reduceat(x ^ (x >> np.uint64(29)), at) >> np.uint64(16)).astype(np.uint32).view(np.int32)
+                        np.multiply(short, _SEEDS[c], out=x)
+                        np.right_shift(x, np.uint32(15), out=y)
+                        np.bitwise_xor(x, y, out=x)
+                        sig[:, c] = np.minimum.reduceat(x, at).view(np.int32)
                     a[full] = np.add.reduceat(h, at)
                     b[full] = np.bitwise_xor.reduceat(mix64(h), at)
                 per = np.where(n > 0, COORDINATES, 0)
@@ -79,13 +86,125 @@ def _sketch(k: int):
     return run
 
 
-def _sets(k: int):
+def _pack(h: np.ndarray) -> np.ndarray:
+    """Five bytes of each shingle hash."""
+    return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].reshape(-1)
+
+
+def _unpack(raw: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(raw) // 5, 8), np.uint8)
+    out[:, :5] = raw.reshape(-1, 5)
+    return out.view("<u8").reshape(-1)
+
+
+def _sets(k: int, bitmap: np.ndarray):
+    """Shingle sets of the documents whose bit is set; others may come too."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
+            bit = batch.column(2).to_numpy()
+            on = (bitmap[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1
+            batch = batch.filter(pa.array(on.astype(bool)))
             for i, j, data, off in slices(batch, "text", 1 << 21):
                 h, n = _shingles(data, off, k)
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), list_array(h.view(np.int64), n, pa.int64())], names=["rep", "shingles"])
+                size = np.concatenate([[0], np.cumsum(n * 5)]).astype(np.int32)
+                sets = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(size.tobytes()), pa.py_buffer(_pack(h).tobytes())])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), sets], names=["rep", "shingles"])
+
+    return run
+
+
+def _bitmap(candidates: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size with the hashes of the candidates' ids."""
+    bit = F.pmod(F.xxhash64("rep"), F.lit(BITMAP_BITS)) + 1  # the bitmap functions count from 1
+    rows = candidates.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
+    out = np.zeros(BITMAP_BITS // 8 + 4096, np.uint8)
+    for r in rows:  # at most BITMAP_BITS / 32768 rows of 4 KB
+        at = (r["bucket"] - 1) * 4096
+        out[at : at + 4096] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
+    """Runs of equal keys in sorted batches; a run may span batches."""
+    rest: pa.Table | None = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        t = pa.concat_tables([rest, t]).combine_chunks() if rest is not None else t
+        if not t.num_rows:
+            continue
+        cols = [t.column(k).to_numpy() for k in keys]
+        new = np.zeros(t.num_rows, bool)
+        for c in cols:
+            new[1:] |= c[1:] != c[:-1]
+        at = np.concatenate([[0], np.flatnonzero(new)])
+        for i, j in zip(at[:-1], at[1:], strict=True):
+            yield tuple(int(c[i]) for c in cols), t.slice(i, j - i)
+        rest = t.slice(at[-1])
+    if rest is not None and rest.num_rows:
+        yield tuple(int(rest.column(k)[0].as_py()) for k in keys), rest
+
+
+def _flat(t: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """(values, first of each row and end) of a list column."""
+    c = t.column(name).combine_chunks()
+    c = c.chunk(0) if isinstance(c, pa.ChunkedArray) else c
+    off = c.offsets.to_numpy().astype(np.int64)
+    return c.values.to_numpy(), off
+
+
+def _to_compare(key: tuple, t: pa.Table, threshold: float) -> np.ndarray:
+    """todo[i, j], i < j: pairs of this bucket that no earlier one holds and that may reach the threshold."""
+    leaf, one, two = key
+    m = t.num_rows
+    n = t.column("n").to_numpy()
+    todo = np.minimum(n[:, None], n[None, :]) >= threshold * np.maximum(n[:, None], n[None, :]) - 1e-9
+    todo &= np.arange(m)[:, None] < np.arange(m)[None, :]
+    if one != two:
+        side = t.column("block").to_numpy() == one
+        todo &= side[:, None] != side[None, :]
+    rep = t.column("rep").to_numpy()
+    todo &= rep[:, None] != rep[None, :]
+    values, off = _flat(t, "sig")
+    sig = values[off[0] : off[-1]].reshape(m, COORDINATES)
+    shared = np.zeros((m, m), np.int8)
+    for c in range(COORDINATES):
+        shared += sig[:, c][:, None] == sig[:, c][None, :]
+    todo &= shared >= MIN_SHARED
+    values, off = _flat(t, "leaves")
+    flat = values[off[0] : off[-1]]
+    early = flat < leaf
+    if early.any():
+        names, col = np.unique(flat[early], return_inverse=True)
+        member = np.zeros((m, len(names)), np.float32)
+        member[np.repeat(np.arange(m), np.diff(off))[early], col] = 1
+        todo &= (member @ member.T) == 0
+    return todo
+
+
+_KEYS = ["leaf", "one", "two"]
+
+
+def _live(threshold: float):
+    """The sets of each bucket that take part in a comparison there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[list[np.ndarray]] = []
+
+        def rows() -> pa.RecordBatch:
+            cols = [np.concatenate(c) for c in zip(*out, strict=True)]
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c.astype(k)) for c, k in zip(cols, (np.int64, np.int32, np.int32, np.int64, np.int32), strict=True)], names=[*_KEYS, "rep", "block"])
+
+        for key, t in _groups(batches, _KEYS):
+            todo = _to_compare(key, t, threshold)
+            at = np.flatnonzero(todo.any(0) | todo.any(1))
+            if len(at):
+                out.append([*(np.full(len(at), k) for k in key), t.column("rep").to_numpy()[at], t.column("block").to_numpy()[at]])
+            if len(out) > 5000:
+                yield rows()
+        if out:
+            yield rows()
 
     return run
 
@@ -102,58 +221,52 @@ def _components_of(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
             return lab
 
 
+def _links(todo: np.ndarray, t: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (i, j) of ``todo`` whose sets reach the threshold, by exact intersections."""
+    n = t.column("n").to_numpy()
+    m = t.num_rows
+    raw = [np.frombuffer(x.as_buffer(), np.uint8) for x in t.column("shingles").combine_chunks()]
+    sets = [_unpack(x) for x in raw]
+    if todo.sum() <= 4 * m:
+        u, v = np.nonzero(todo)
+        common = np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(u, v, strict=True)])
+        ok = common >= threshold * (n[u] + n[v] - common) - 1e-9
+        return u[ok], v[ok]
+    row = np.repeat(np.arange(m), [len(x) for x in sets])
+    token, col, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times[col] > 1
+    row, col = row[shared], (np.cumsum(times > 1) - 1)[col[shared]]
+    width = int((times > 1).sum())
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    common = np.zeros((m, m), np.float32)
+    step = max(1024, (1 << 22) // m)
+    for a in range(0, width, step):
+        lo, hi = np.searchsorted(col, [a, a + step])
+        part = np.zeros((m, min(step, width - a)), np.float32)
+        part[row[lo:hi], col[lo:hi] - a] = 1
+        common += part @ part.T
+    u, v = np.nonzero(todo & (common >= threshold * (n[:, None] + n[None, :] - common) - 1e-9))
+    return u, v
+
+
 def _compare(threshold: float):
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        leaf, one, two = (int(x) for x in key)
-        pdf = pdf.sort_values("rep", kind="stable")
-        rep, w, n = pdf["rep"].to_numpy(), pdf["w"].to_numpy(), pdf["n"].to_numpy()
-        m = len(pdf)
-        todo = np.triu(np.ones((m, m), bool), 1)
-        if one != two:
-            side = pdf["block"].to_numpy() == one
-            todo &= side[:, None] != side[None, :]
-        small, large = np.minimum(n[:, None], n[None, :]), np.maximum(n[:, None], n[None, :])
-        todo &= small >= threshold * large - 1e-9
-        # Pairs with an earlier common bucket were compared there.
-        lists = [np.asarray(x) for x in pdf["leaves"]]
-        owner = np.repeat(np.arange(m), [len(x) for x in lists])
-        flat = np.concatenate(lists)
-        early = flat < leaf
-        if early.any():
-            names, col = np.unique(flat[early], return_inverse=True)
-            member = np.zeros((m, len(names)), np.float32)
-            member[owner[early], col] = 1
-            todo &= (member @ member.T) == 0
-        live = np.flatnonzero(todo.any(0) | todo.any(1))
-        none = pd.DataFrame({"rep": rep[:0], "links": w[:0], "low": rep[:0]})
-        if not len(live):
-            return none
-        sets = [np.asarray(pdf["shingles"].iloc[i]) for i in live]
-        row = np.repeat(np.arange(len(live)), [len(s) for s in sets])
-        token, col, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        shared = times[col] > 1
-        row, col = row[shared], np.cumsum(times > 1)[col[shared]] - 1
-        width = int((times > 1).sum())
-        common = np.zeros((len(live), len(live)), np.float32)
-        step = max(1024, (1 << 22) // len(live))
-        order = np.argsort(col, kind="stable")
-        row, col = row[order], col[order]
-        for a in range(0, width, step):
-            lo, hi = np.searchsorted(col, [a, a + step])
-            part = np.zeros((len(live), min(step, width - a)), np.float32)
-            part[row[lo:hi], col[lo:hi] - a] = 1
-            common += part @ part.T
-        union = n[live][:, None] + n[live][None, :] - common
-        link = todo[np.ix_(live, live)] & (common >= threshold * union - 1e-9)
-        u, v = np.nonzero(link)
-        if not len(u):
-            return none
-        links = np.zeros(len(live), np.int64)
-        np.add.at(links, u, w[live][v])
-        np.add.at(links, v, w[live][u])
-        lab = _components_of(len(live), u, v)
-        hit = links > 0
-        return pd.DataFrame({"rep": rep[live][hit], "links": links[hit], "low": rep[live][lab[hit]]})
+    """One row for each linked set of a bucket: rep, its links there, the smallest set of its part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, t in _groups(batches, _KEYS):
+            rep = t.column("rep").to_numpy()
+            t = t.take(pa.array(np.unique(rep, return_index=True)[1]))  # rows of one doc_id may repeat
+            rep, w = t.column("rep").to_numpy(), t.column("w").to_numpy()
+            u, v = _links(_to_compare(key, t, threshold), t, threshold)
+            if not len(u):
+                continue
+            links = np.zeros(len(rep), np.int64)
+            np.add.at(links, u, w[v])
+            np.add.at(links, v, w[u])
+            lab = _components_of(len(rep), u, v)  # rows are sorted by rep
+            hit = links > 0
+            yield pa.RecordBatch.from_arrays([pa.array(x[hit]) for x in (rep, links, rep[lab])], names=["rep", "links", "low"])
 
     return run
 
@@ -205,17 +318,20 @@ def similarity_join(documents: DataFrame, threshold: float = THRESHOLD, recall:
     classes = scratch.keep(reps.select("rep", "w", "n", "sig").dropDuplicates(["rep"]))
     leaves = scratch.keep(_leaves(classes, runs_for(recall, threshold), scratch))
     lists = leaves.groupBy("rep").agg(F.collect_set("leaf").alias("leaves"))
-    lists = scratch.keep(lists.join(classes.select("rep", "w", "n"), "rep"))
-    texts = documents.select(F.col("doc_id").alias("rep"), "text").join(lists.select("rep"), "rep", "left_semi")
-    sets = scratch.keep(texts.mapInArrow(_sets(k), "rep long, shingles array<bigint>").dropDuplicates(["rep"]))
+    lists = scratch.keep(lists.join(classes, "rep"))
     # Blocks of a large bucket: each set goes to the pairs of blocks that its own is in.
-    blocks = F.ceil(F.col("size") / (LEAF / 2)).cast("int")
-    b = leaves.withColumn("blocks", F.when(F.col("size") <= LEAF, F.lit(1)).otherwise(blocks))
-    b = b.withColumn("block", F.pmod(_hash("rep"), F.col("blocks")).cast("int"))
-    b = b.select("leaf", "rep", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    b = b.select("leaf", "rep", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
-    rows = b.join(lists.join(sets, "rep"), "rep")
-    found = scratch.keep(rows.groupBy("leaf", "one", "two").applyInPandas(_compare(threshold), "rep long, links long, low long"))
+    blocks = F.when(F.col("size") <= LEAF, F.lit(1)).otherwise(F.ceil(F.col("size") / (LEAF // 2)).cast("int"))
+    b = leaves.withColumn("blocks", blocks).withColumn("block", F.pmod(_hash("rep"), F.col("blocks")).cast("int"))
+    b = b.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    b = b.select("leaf", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "rep", "block")
+    dealt = lambda d: d.repartition(*_KEYS).sortWithinPartitions(*_KEYS, "rep")
+    live = dealt(b.join(lists.select("rep", "n", "sig", "leaves"), "rep")).mapInArrow(_live(threshold), "leaf long, one int, two int, rep long, block int")
+    live = scratch.keep(live)
+    bitmap = _bitmap(live)
+    d2 = documents.select(F.col("doc_id").alias("rep"), "text", F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(BITMAP_BITS)).alias("bit")).filter("rep is not null")
+    sets = d2.mapInArrow(_sets(k, bitmap), "rep long, shingles binary")
+    heavy = lists.select("rep", "w", "n", "sig", "leaves").join(sets, "rep")
+    found = scratch.keep(dealt(live.join(heavy, "rep")).mapInArrow(_compare(threshold), "rep long, links long, low long"))
     cc = connected_components(found.select(F.col("rep").alias("u"), F.col("low").alias("v")), scratch)
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     per = ids.join(links, "rep", "left").join(cc, F.col("rep") == F.col("node"), "left")
@@ -232,11 +348,18 @@ def similarity_join(documents: DataFrame, threshold: float = THRESHOLD, recall:
 
 
 def keep_one(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The document of smallest doc_id of each component, with all columns."""
-    keep = similarity_join(documents, threshold).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    gone_dup = documents.join(keep, F.col("doc_id") == F.col("_kept"), "left_semi")
-    nulls = documents.filter("doc_id is null")
-    return gone_dup.union(nulls)
+    """The document of smallest doc_id of each component, with all columns; one row of a repeated doc_id.
+
+    Documents without a doc_id can't be told apart by it and all stay.
+    """
+    scratch = Scratch(documents.sparkSession)
+    kept = similarity_join(documents, threshold).filter("kept").groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_n"))
+    kept = scratch.keep(kept)
+    on = F.col("doc_id") == F.col("_kept")
+    out = documents.join(kept.filter("_n = 1"), on, "left_semi")
+    if kept.filter("_n > 1").limit(1).count():
+        out = out.union(documents.join(kept.filter("_n > 1"), on, "left_semi").dropDuplicates(["doc_id"]))
+    return out.union(documents.filter("doc_id is null"))
 
 
 def op7_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
