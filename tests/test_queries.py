@@ -1,6 +1,7 @@
 import pytest
 
 import __spark_entry__
+import chunkloom.plans.scan_queries  # noqa: F401
 from chunkloom.plans.queries import ORACLE, QUERIES
 from tests.duck import SF, same
 
