@@ -12,10 +12,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkloom.sources import binary
+from chunkloom.sources import binary, hdf5
 
 #: Formats with the parser of each and its default inline threshold.
-FORMATS: dict[str, tuple[Callable, int]] = {"netcdf3": (binary.netcdf3, 100), "fits": (binary.fits, 100), "tiff": (binary.tiff, 0)}
+FORMATS: dict[str, tuple[Callable, int]] = {"netcdf3": (binary.netcdf3, 100), "fits": (binary.fits, 100), "tiff": (binary.tiff, 0), "hdf5": (hdf5.hdf5, 500)}
 
 ROWS = "ds_url string, key string, path string, offset bigint, size bigint, raw binary, error string"
 
