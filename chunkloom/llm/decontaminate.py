@@ -105,20 +105,21 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, min_items: int = 2
     A document of which nothing is left goes too. Untouched documents come out byte for byte.
     """
     h = hits(documents, benchmark).filter(F.size("spans") > 0)
-    h = h.select(F.col("doc_id").alias("_id"), F.col("tkey").alias("_key"), F.col("tlen").alias("_len"), F.col("spans").alias("_spans"), (F.size("items") >= min_items).alias("_drop"))
-    d = documents.withColumn("_tkey", F.xxhash64("text")).withColumn("_tlen", F.octet_length("text"))
-    on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_tkey") == F.col("_key")) & F.col("_tlen").eqNullSafe(F.col("_len"))
-    d = d.join(h, on, "left").filter(~F.coalesce(F.col("_drop"), F.lit(False)))
+    h = h.select(F.col("doc_id").alias("__cl_id"), F.col("tkey").alias("__cl_key"), F.col("tlen").alias("__cl_len"), F.col("spans").alias("__cl_spans"), (F.size("items") >= min_items).alias("__cl_drop"))
+    text = F.col("text")
+    on = F.col("doc_id").eqNullSafe(F.col("__cl_id")) & (F.xxhash64("text") == F.col("__cl_key")) & F.octet_length(text).eqNullSafe(F.col("__cl_len"))
+    d = documents.join(h, on, "left").filter(~F.coalesce(F.col("__cl_drop"), F.lit(False)))
     any_case = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-    pieces = F.regexp_extract_all(F.col("text"), F.lit(rf"({any_case})([\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*)"), F.lit(0))
-    head = F.regexp_extract(F.col("text"), r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*", 0)
-    gone = F.expr("array_distinct(flatten(transform(_spans, s -> sequence(s.at, s.at + s.n - 1))))")
-    d = d.withColumn("_pieces", F.when(F.col("_spans").isNotNull(), pieces)).withColumn("_gone", gone)
-    left = F.expr("array_join(transform(array_except(sequence(0, size(_pieces) - 1), _gone), i -> _pieces[i]), '')")
-    cut = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.concat(head, left))
-    d = d.withColumn("text", cut).filter(F.col("_spans").isNull() | (F.length(F.trim("text")) > 0))
+    pieces = F.regexp_extract_all(text, F.lit(rf"({any_case})([\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*)"), F.lit(0))
+    head = F.regexp_extract(text, r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*", 0)
+    gone = F.array_distinct(F.flatten(F.transform("__cl_spans", lambda s: F.sequence(s["at"], s["at"] + s["n"] - 1))))
+    # A one-element array binds the pieces: written out in the inner function they would be split anew for each word.
+    left = F.transform(F.array(F.struct(pieces.alias("p"), gone.alias("g"))), lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x["p"]) - 1), x["g"]), lambda i: F.get(x["p"], i)), ""))
+    hit = F.col("__cl_spans").isNotNull()
+    d = d.withColumn("__cl_text", F.when(hit, F.concat(head, F.get(left, F.lit(0)))))
+    d = d.filter(~hit | (F.length(F.trim("__cl_text")) > 0)).withColumn("text", F.when(hit, F.col("__cl_text")).otherwise(text))
     if "n_chars" in documents.columns:
-        d = d.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
+        d = d.withColumn("n_chars", F.when(hit, F.char_length("__cl_text").cast("long")).otherwise(F.col("n_chars")))
     return d.select(documents.columns)
 
 
