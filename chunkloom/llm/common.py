@@ -65,7 +65,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 22) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Row ranges of at most ``limit`` text bytes (or one row) as (first, last, bytes, offsets).
 
     Offsets have one entry more than rows and start at 0. Null texts are empty.
@@ -131,14 +131,24 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["p"][:n], _POWERS["q"][:n]
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each lower-cased word, from prefix sums of a polynomial modulo 2**64."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    p, q = _powers(len(data) + 1)
-    acc = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * p[:-1], out=acc[1:])
-    return mix64((acc[ends] - acc[starts]) * q[starts] + (ends - starts).astype(np.uint64))
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 21) -> np.ndarray:
+    """64-bit hash of each lower-cased word, from prefix sums of a polynomial modulo 2**64.
+
+    Works through blocks of bytes, so that its temporary arrays stay small.
+    """
+    out = np.zeros(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        at = starts[i]
+        j = max(i + 1, int(np.searchsorted(ends, at + block, side="right")))
+        part = data[at : ends[j - 1]]
+        p, q = _powers(len(part) + 1)
+        acc = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((_LOWER[part].astype(np.uint64) + np.uint64(1)) * p[:-1], out=acc[1:])
+        s, e = starts[i:j] - at, ends[i:j] - at
+        out[i:j] = mix64((acc[e] - acc[s]) * q[s] + (e - s).astype(np.uint64))
+        i = j
+    return out
 
 
 def shingle_hashes(words: np.ndarray, per_doc: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:

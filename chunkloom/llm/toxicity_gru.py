@@ -283,7 +283,9 @@ def fit(texts: list[bytes], y: np.ndarray, epochs: int = EPOCHS, seed: int = 3)
 def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MAX_TRAIN) -> dict | None:
     got = training_rows(documents, labels, label, most).select("doc_id", "text", "y").toPandas().sort_values(["doc_id", "text"], kind="stable")
     got = got.drop_duplicates("text")
-    return fit([(t or "").encode() for t in got["text"]], got["y"].to_numpy())
+    texts, y = [(t or "").encode() for t in got["text"]], got["y"].to_numpy()
+    del got
+    return fit(texts, y)
 
 
 def probability(m: dict | None, w: Words) -> np.ndarray:
@@ -298,7 +300,7 @@ def _score_all(m: dict | None):
         for batch in batches:
             text_at = batch.schema.get_field_index("text")
             others = [i for i in range(batch.num_columns) if i != text_at]
-            for i, j, data, off in slices(batch, "text", 1 << 21):
+            for i, j, data, off in slices(batch, "text"):
                 p = probability(m, Words(data, off))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in others), pa.array(p)], names=[*(batch.schema.field(c).name for c in others), "score"])
 
@@ -319,7 +321,7 @@ def keep_clean(documents: DataFrame, labels: DataFrame, cut: float = CUT, learn_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, data, off in slices(batch, "text", 1 << 21):
+            for i, j, data, off in slices(batch, "text"):
                 ok = probability(m, Words(data, off)) < cut
                 yield batch.slice(i, j - i).filter(pa.array(ok))
 
