@@ -63,7 +63,7 @@ def _sketch(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
-            for i, j, data, off in slices(batch, "text", 1 << 21):
+            for i, j, data, off in slices(batch, "text"):
                 h, n = _shingles(data, off, k)
                 full = np.flatnonzero(n)
                 at = (np.cumsum(n) - n)[full]
@@ -105,7 +105,7 @@ def _sets(k: int, bitmap: np.ndarray):
             bit = batch.column(2).to_numpy()
             on = (bitmap[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1
             batch = batch.filter(pa.array(on.astype(bool)))
-            for i, j, data, off in slices(batch, "text", 1 << 21):
+            for i, j, data, off in slices(batch, "text"):
                 h, n = _shingles(data, off, k)
                 size = np.concatenate([[0], np.cumsum(n * 5)]).astype(np.int32)
                 sets = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(size.tobytes()), pa.py_buffer(_pack(h).tobytes())])
@@ -353,12 +353,12 @@ def keep_one(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     Documents without a doc_id can't be told apart by it and all stay.
     """
     scratch = Scratch(documents.sparkSession)
-    kept = similarity_join(documents, threshold).filter("kept").groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_n"))
+    kept = similarity_join(documents, threshold).filter("kept").groupBy(F.col("doc_id").alias("__cl_kept")).agg(F.count("*").alias("__cl_n"))
     kept = scratch.keep(kept)
-    on = F.col("doc_id") == F.col("_kept")
-    out = documents.join(kept.filter("_n = 1"), on, "left_semi")
-    if kept.filter("_n > 1").limit(1).count():
-        out = out.union(documents.join(kept.filter("_n > 1"), on, "left_semi").dropDuplicates(["doc_id"]))
+    on = F.col("doc_id") == F.col("__cl_kept")
+    out = documents.join(kept.filter("__cl_n = 1"), on, "left_semi")
+    if kept.filter("__cl_n > 1").limit(1).count():
+        out = out.union(documents.join(kept.filter("__cl_n > 1"), on, "left_semi").dropDuplicates(["doc_id"]))
     return out.union(documents.filter("doc_id is null"))
 
 

@@ -11,7 +11,7 @@ MIN_RUN_WORDS words or more are cut out; shorter ones (common lines, licence hea
 
 Defined results: null and empty texts have no chunks and stay as they are; rows of the same
 doc_id are one document, so exactly repeated rows stay; a null doc_id counts as the smallest;
-an empty table gives an empty result. Further columns pass through ``dedup_substrings``.
+an empty table gives an empty result. Further columns pass through ``dedup_substrings``; names that begin with ``__cl_`` are its own.
 """
 
 from __future__ import annotations
@@ -130,7 +130,7 @@ def _cut(schema: T.StructType, min_words: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            copied = batch.column(batch.schema.get_field_index("_copied"))
+            copied = batch.column(batch.schema.get_field_index("__cl_copied"))
             texts = batch.column(text_at)
             out_text, out_words, out_cut, out_spans = [], [], [], []
             for i, j, data, off in slices(batch, "text"):
@@ -175,29 +175,29 @@ def _cut(schema: T.StructType, min_words: int):
                     out_spans.append([{"start": s, "end": e} for s, e in spans])
             cols = [pa.array(out_text, pa.string()) if x == text_at else batch.column(x) for x in range(len(names))]
             cols += [pa.array(out_words, pa.int64()), pa.array(out_cut, pa.int64()), pa.array(out_spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
-            fields = [pa.field(n, c.type) for n, c in zip([*names, "_n_words", "_n_cut_words", "_spans"], cols, strict=True)]
+            fields = [pa.field(n, c.type) for n, c in zip([*names, "__cl_n_words", "__cl_n_cut_words", "__cl_spans"], cols, strict=True)]
             yield pa.RecordBatch.from_arrays(cols, schema=pa.schema(fields))
 
     return run
 
 
 def dedup_substrings(documents: DataFrame, min_words: int = MIN_RUN_WORDS) -> DataFrame:
-    """All columns, with text less its copied runs, and _n_words, _n_cut_words, _spans (bytes of the old text), _sources."""
+    """All columns, with text less its copied runs, and __cl_n_words, __cl_n_cut_words, __cl_spans (bytes of the old text), __cl_sources."""
     scratch = Scratch(documents.sparkSession)
-    c = scratch.keep(copied_chunks(documents)).select(F.col("doc").alias("_doc"), F.col("copied").alias("_copied"), F.array_sort("sources").alias("_sources"))
-    d = documents.withColumn("_key", _key(documents)).join(c, F.col("_key") == F.col("_doc"), "left").drop("_key", "_doc")
-    d = d.withColumn("_sources", F.coalesce(F.col("_sources"), F.array().cast("array<bigint>")))
-    names = [*documents.columns, "_copied", "_sources"]
+    c = scratch.keep(copied_chunks(documents)).select(F.col("doc").alias("__cl_doc"), F.col("copied").alias("__cl_copied"), F.array_sort("sources").alias("__cl_sources"))
+    d = documents.join(c, _key(documents) == F.col("__cl_doc"), "left").drop("__cl_doc")
+    d = d.withColumn("__cl_sources", F.coalesce(F.col("__cl_sources"), F.array().cast("array<bigint>")))
+    names = [*documents.columns, "__cl_copied", "__cl_sources"]
     d = d.select(names)
-    added = T.StructType.fromDDL("_n_words long, _n_cut_words long, _spans array<struct<start: long, end: long>>")
+    added = T.StructType.fromDDL("__cl_n_words long, __cl_n_cut_words long, __cl_spans array<struct<start: long, end: long>>")
     schema = T.StructType([*d.schema.fields, *added.fields])
-    out = d.mapInArrow(_cut(d.schema, min_words), schema).drop("_copied")
-    return out.withColumn("_sources", F.when(F.col("_n_cut_words") > 0, F.col("_sources")).otherwise(F.array().cast("array<bigint>")))
+    out = d.mapInArrow(_cut(d.schema, min_words), schema).drop("__cl_copied")
+    return out.withColumn("__cl_sources", F.when(F.col("__cl_n_cut_words") > 0, F.col("__cl_sources")).otherwise(F.array().cast("array<bigint>")))
 
 
 def op5_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "text", F.col("_n_words").alias("n_words"), F.col("_n_cut_words").alias("n_cut_words"), F.col("_spans").alias("spans"), F.col("_sources").alias("source_ids"))
+    return out.select("doc_id", "text", F.col("__cl_n_words").alias("n_words"), F.col("__cl_n_cut_words").alias("n_cut_words"), F.col("__cl_spans").alias("spans"), F.col("__cl_sources").alias("source_ids"))
 
 
 QUERIES = {"op5_chunk_dedup": op5_chunk_dedup}

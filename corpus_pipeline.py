@@ -29,7 +29,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without copied runs; a document of which nothing is left goes."""
     out = chunk_dedup.dedup_substrings(docs)
-    cut = F.col("_n_cut_words") > 0
+    cut = F.col("__cl_n_cut_words") > 0
     out = out.filter(~cut | (F.length(F.trim("text")) > 0))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(cut, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
