@@ -2,8 +2,10 @@
 
 1. Vectors are scaled to length 1; exact copies within a label are one point with a weight.
 2. Centres are fitted for each label on a bounded sample; each point goes to its CLOSEST nearest
-   centres and to those within MARGIN of the best, so shards overlap. A shard above SHARD points is dealt into blocks, and every pair
-   of blocks is a shard, so that a large group of near copies is shared out and no pair is lost.
+   centres and to those within MARGIN of the best, so shards overlap. A shard above SHARD points is
+   split again by centres of its own; one that splitting hardly divides, a group of near copies, is
+   dealt into blocks, and every pair of blocks is a shard, so that the group is shared out and no
+   pair is lost.
 3. In each shard every point's nearest points are pruned robustly (a candidate goes if one kept
    before is nearer to it by the factor ALPHA) to at most DEGREE; both ends list an edge.
 4. The lists of all shards are united for each point.
@@ -39,6 +41,12 @@ COSINE = 0.98
 SAMPLE = 40_000
 MAX_CENTRES = 512
 CLOSEST = 2
+#: Splitting of large cells: levels, sample and centres of each, points that a task deals out at once, the share that tells near copies.
+MAX_LEVELS = 4
+SPLIT_SAMPLE = 2048
+SPLIT_CENTRES = 256
+PIECE = 20_000
+SHRINK = 0.6
 #: A point also goes to every centre whose cosine is less than its best by no more than this.
 MARGIN = 0.06
 SHARD = 1024
@@ -72,6 +80,55 @@ def fit_centres(x: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.nda
     return c
 
 
+def _closest(sim: np.ndarray, closest: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, centre) for the closest centres and those within the margin of the best."""
+    best = np.partition(sim, -min(closest, sim.shape[1]), axis=1)[:, -min(closest, sim.shape[1]) :]
+    return np.nonzero(sim >= np.minimum(best.min(1), best.max(1) - MARGIN)[:, None])
+
+
+def _split_centres(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    """Centres of one cell from its sample."""
+    x = np.stack(pdf.sort_values("point", kind="stable")["unit"].to_list())
+    k = min(SPLIT_CENTRES, -(-int(pdf["size"].iloc[0]) // (SHARD // 4)), max(1, len(x) // 2))
+    return pd.DataFrame({"cell": [key[0]], "centres": [fit_centres(x, k).reshape(-1).tolist()]})
+
+
+def _split_assign(key: tuple, points: pd.DataFrame, centres: pd.DataFrame) -> pd.DataFrame:
+    """The parts of a cell that a piece of its points goes to."""
+    if not len(points):
+        return pd.DataFrame({"point": [], "parent": [], "part": [], "was": []})
+    x = np.stack(points["unit"].to_list())
+    c = np.asarray(centres["centres"].iloc[0]).reshape(-1, x.shape[1]) if len(centres) else x[:0]
+    who, part = _closest(x @ c.T, CLOSEST) if len(c) else (np.arange(len(x)), np.zeros(len(x), np.int64))
+    return pd.DataFrame({"point": points["point"].to_numpy()[who], "parent": key[0], "part": part, "was": points["size"].to_numpy()[who]})
+
+
+def _refine(cells: DataFrame, points: DataFrame, scratch: Scratch) -> DataFrame:
+    """(point, cell), with cells above SHARD split by centres of their own, level by level.
+
+    A cell of which a split leaves more than SHRINK together is a group of near copies, and stays.
+    """
+    level = cells.select("point", "cell", F.lit(None).cast("long").alias("was"))
+    done = None
+    for depth in range(MAX_LEVELS):
+        size = level.groupBy("cell").agg(F.count("*").alias("size"), F.max("was").alias("was"))
+        big = scratch.keep(size.filter((F.col("size") > SHARD) & (F.col("was").isNull() | (F.col("size") < F.col("was") * SHRINK))).select("cell", "size"))
+        if not big.limit(1).count():
+            break
+        rest = level.join(big, "cell", "left_anti").select("point", "cell")
+        done = rest if done is None else done.union(rest)
+        rows = scratch.keep(level.select("point", "cell").join(big, "cell").join(points.select("point", "unit"), "point"))
+        picked = rows.filter(F.pmod(F.xxhash64("point", F.lit(depth)), F.lit(1_000_000)) < F.lit(SPLIT_SAMPLE * 1_000_000) / F.col("size"))
+        centres = picked.groupBy("cell").applyInPandas(_split_centres, "cell long, centres array<double>")
+        pieces = F.ceil(F.col("size") / PIECE).cast("int")
+        c = centres.join(big, "cell").withColumn("salt", F.explode(F.sequence(F.lit(0), pieces - 1))).select("cell", "salt", "centres")
+        r = rows.withColumn("salt", F.pmod(F.xxhash64("point"), pieces).cast("int"))
+        out = r.groupBy("cell", "salt").cogroup(c.groupBy("cell", "salt")).applyInPandas(_split_assign, "point long, parent long, part int, was long")
+        level = scratch.keep(out.select("point", F.xxhash64("parent", "part").alias("cell"), "was"))
+    level = level.select("point", "cell")
+    return level if done is None else done.union(level)
+
+
 def _assign(centres: dict[tuple[int, int], np.ndarray], closest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,9 +144,7 @@ def _assign(centres: dict[tuple[int, int], np.ndarray], closest: int):
                     cell.append(np.zeros(len(at), np.int64))
                     continue
                 sim = np.stack([vecs[i] for i in at]) @ c.T
-                m = min(closest, c.shape[0])
-                best = np.partition(sim, -m, axis=1)[:, -m:]
-                who, near = np.nonzero(sim >= np.minimum(best.min(1), best.max(1) - MARGIN)[:, None])
+                who, near = _closest(sim, closest)
                 rows.append(at[who])
                 cell.append(near)
             at = np.concatenate(rows) if rows else np.zeros(0, np.int64)
@@ -99,16 +154,16 @@ def _assign(centres: dict[tuple[int, int], np.ndarray], closest: int):
     return run
 
 
-def robust_prune(sim: np.ndarray, own: int, order: np.ndarray, degree: int, alpha: float) -> list[int]:
-    """Of candidates by falling similarity, those that no kept one is nearer to by ``alpha`` (on distances)."""
-    kept: list[int] = []
-    far = 1 - sim[own]
-    for c in order:
-        if kept and (alpha * (1 - sim[c, kept]) <= far[c]).any():
-            continue
-        kept.append(int(c))
-        if len(kept) == degree:
-            break
+def robust_prune(sim: np.ndarray, top: np.ndarray, degree: int, alpha: float) -> np.ndarray:
+    """kept[i, r]: of point i's candidates top[i], by falling similarity, those that no kept one is nearer to by ``alpha`` (on distances)."""
+    n, most = top.shape
+    far = 1 - np.take_along_axis(sim, top, 1)
+    kept = np.zeros((n, most), bool)
+    count = np.zeros(n, np.int64)
+    for r in range(most):
+        covered = kept[:, :r] & (alpha * (1 - sim[top[:, r][:, None], top[:, :r]]) <= far[:, r : r + 1])
+        kept[:, r] = ~covered.any(1) & (count < degree)
+        count += kept[:, r]
     return kept
 
 
@@ -124,92 +179,54 @@ def _build(degree: int, candidates: int, alpha: float):
             return pd.DataFrame({"point": point, "near": [[]] * len(point)})
         top = np.argpartition(-sim, m - 1, axis=1)[:, :m]
         top = np.take_along_axis(top, np.argsort(-np.take_along_axis(sim, top, 1), axis=1, kind="stable"), 1)
-        near = [robust_prune(sim, i, top[i], degree, alpha) for i in range(len(point))]
+        kept = robust_prune(sim, top, degree, alpha)
+        u, v = np.nonzero(kept)[0], top[kept]
         # Both ends know an edge, so that every point can be reached.
-        back: list[list[int]] = [[] for _ in near]
-        for i, row in enumerate(near):
-            for j in row:
-                back[j].append(i)
-        return pd.DataFrame({"point": point, "near": [point[sorted({*a, *b})] for a, b in zip(near, back, strict=True)]})
+        pair = np.unique(np.concatenate([u * len(point) + v, v * len(point) + u]))
+        cut = np.searchsorted(pair // len(point), np.arange(len(point) + 1))
+        ends = point[pair % len(point)]
+        return pd.DataFrame({"point": point, "near": [ends[i:j] for i, j in zip(cut[:-1], cut[1:], strict=True)]})
 
     return run
 
 
 def search_ranges(x: np.ndarray, lists: list[np.ndarray], least: float, beam: int, starts: np.ndarray) -> np.ndarray:
-    """found[q, v]: whether the search of query q met v at cosine ``least`` or above.
+    """found[q, v]: whether the search of query q, or that of v, met the other at cosine ``least`` or above.
 
-    All points are queries at once. A beam search walks from the starts to each query; from then
-    on the search expands every point in range that it has met, until it meets no more.
+    All points are queries at once, as rows of matrices. Each query opens its best unopened point
+    until that is worse than the ``beam`` best it has met; then it opens every point in range, or
+    a little beyond, that it has met, until it meets no more.
     """
     n = len(x)
-    degree = np.array([len(a) for a in lists])
-    first, adj = np.cumsum(degree) - degree, np.concatenate(lists).astype(np.int64)
-
-    def expand(q: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Each query with all neighbours of its point."""
-        d = degree[v]
-        ends = np.cumsum(d)
-        return np.repeat(q, d), adj[np.arange(ends[-1]) + np.repeat(first[v] - ends + d, d)]
-
-    xx = np.concatenate([x, np.zeros((1, x.shape[1]), x.dtype)])
-    seen = np.zeros((n, n + 1), bool)
-    seen[:, n] = True
-    found, near = np.zeros((2, n, n + 1), bool)
-    beam_id = np.full((n, beam), n, np.int64)
-    beam_sim = np.full((n, beam), -2.0, np.float32)
-    beam_open = np.zeros((n, beam), bool)
-    q_all = np.arange(n)
-
-    def meet(q: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """New (query, point) pairs and their cosine; each pair once."""
-        fresh = ~seen[q, v]
-        pair = np.unique(q[fresh] * (n + 1) + v[fresh])
-        q, v = pair // (n + 1), pair % (n + 1)
-        seen[q, v] = True
-        sim = np.empty(len(q), np.float32)
-        for k in range(0, len(q), 1 << 18):
-            sim[k : k + (1 << 18)] = np.einsum("ij,ij->i", xx[q[k : k + (1 << 18)]], xx[v[k : k + (1 << 18)]])
-        found[q, v] = sim >= least
-        near[q, v] = sim >= least - SLACK
-        return q, v, sim
-
-    def into_beam(q: np.ndarray, v: np.ndarray, sim: np.ndarray) -> None:
-        """Merge pairs into the beams, the best ``beam`` for each query."""
-        order = np.lexsort((-sim, q))
-        q, v, sim = q[order], v[order], sim[order]
-        rank = np.arange(len(q)) - np.searchsorted(q, q)
-        ok = rank < beam
-        who = np.unique(q)
-        new_id = np.full((n, beam), n, np.int64)
-        new_sim = np.full((n, beam), -2.0, np.float32)
-        new_id[q[ok], rank[ok]], new_sim[q[ok], rank[ok]] = v[ok], sim[ok]
-        ids = np.concatenate([beam_id[who], new_id[who]], 1)
-        sims = np.concatenate([beam_sim[who], new_sim[who]], 1)
-        opens = np.concatenate([beam_open[who], new_id[who] < n], 1)
-        best = np.argsort(-sims, axis=1, kind="stable")[:, :beam]
-        beam_id[who], beam_sim[who] = np.take_along_axis(ids, best, 1), np.take_along_axis(sims, best, 1)
-        beam_open[who] = np.take_along_axis(opens, best, 1)
-
-    into_beam(*meet(np.repeat(q_all, len(starts)), np.tile(starts, n)))
-    while True:
-        live = np.flatnonzero(beam_open.any(1))
-        if not len(live):
-            break
-        pick = np.where(beam_open[live], beam_sim[live], -3).argmax(1)
-        v = beam_id[live, pick]
-        beam_open[live, pick] = False
-        got = meet(*expand(live, v))
-        if len(got[0]):
-            into_beam(*got)
-    q, v = np.nonzero(near[:, :n])
-    while len(q):
-        parts = []
-        for k in range(0, len(q), 1 << 15):
-            got = meet(*expand(q[k : k + (1 << 15)], v[k : k + (1 << 15)]))
-            ok = got[2] >= least - SLACK
-            parts.append((got[0][ok], got[1][ok]))
-        q, v = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
-    found = found[:, :n]
+    sim = x @ x.T
+    adj = np.zeros((n, n), bool)
+    adj[np.repeat(np.arange(n), [len(a) for a in lists]), np.concatenate(lists).astype(np.int64)] = True
+    seen, opened = np.zeros((2, n, n), bool)
+    seen[:, starts] = True
+    bound = np.full(n, -2, x.dtype)
+    live, step = np.arange(n), 0
+    while len(live):
+        s, met = sim[live], seen[live]
+        if step % 4 == 0 and beam < n:
+            bound[live] = np.partition(np.where(met, s, -2), n - beam, axis=1)[:, n - beam]
+        todo = np.where(met & ~opened[live], s, -2)
+        pick = todo.argmax(1)
+        best = todo[np.arange(len(live)), pick]
+        go = (best > -2) & (best >= bound[live])
+        live, pick = live[go], pick[go]
+        opened[live, pick] = True
+        seen[live] |= adj[pick]
+        step += 1
+    reach = sim >= least - SLACK
+    front = seen & reach & ~opened
+    step_to = adj.astype(np.float32)
+    while (q := np.flatnonzero(front.any(1))).size:
+        opened[q] |= front[q]
+        new = ((front[q].astype(np.float32) @ step_to) > 0) & ~seen[q]
+        seen[q] |= new
+        front[:] = False
+        front[q] = new & reach[q]
+    found = seen & (sim >= least)
     return found | found.T
 
 
@@ -283,15 +300,31 @@ def _search(least: float, beam: int):
     return run
 
 
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Vectors of length 1 in double precision; null for those that link with nothing."""
+    for batch in batches:
+        label, col = batch.column(1), batch.column(2)
+        n = batch.num_rows
+        none = np.asarray(col.is_null()) | np.asarray(label.is_null())
+        size = np.where(none, 0, np.asarray(col.value_lengths().fill_null(0)))
+        flat = np.asarray(col.filter(pa.array(~none)).flatten().to_numpy(zero_copy_only=False), np.float64)  # null components are NaN
+        owner = np.repeat(np.arange(n), size)
+        ok = ~none & (size > 0)
+        ok[owner[~np.isfinite(flat)]] = False
+        top = np.zeros(n)
+        np.maximum.at(top, owner, np.where(np.isfinite(flat), np.abs(flat), 0))
+        ok &= top > 0
+        scaled = np.where(ok[owner], flat, 0) / np.where(top > 0, top, 1)[owner]  # so that squares neither overflow nor vanish
+        norm = np.sqrt(np.bincount(owner, weights=scaled * scaled, minlength=n))
+        unit = scaled / np.where(norm > 0, norm, 1)[owner]
+        offsets = pa.array(np.concatenate([[0], np.cumsum(np.where(ok, size, 0))]).astype(np.int32), mask=np.append(~ok, False))
+        yield pa.RecordBatch.from_arrays([batch.column(0), label, pa.ListArray.from_arrays(offsets, pa.array(unit[ok[owner]]))], names=["vec_id", "label", "unit"])
+
+
 def _points(embeddings: DataFrame) -> DataFrame:
     """vec_id, label, unit (double, null if the vector links with nothing)."""
-    e = F.transform("embedding", lambda x: x.cast("double"))
-    fine = F.col("label").isNotNull() & (F.size(e) > 0) & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    top = F.array_max(F.transform(e, lambda x: F.abs(x)))  # scaled by it, squares neither overflow nor vanish
-    scaled = F.transform(e, lambda x: x / top)
-    norm = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda a, x: a + x * x))
-    unit = F.when(F.coalesce(fine, F.lit(False)) & (top > 0), F.transform(scaled, lambda x: x / norm))
-    return embeddings.select("vec_id", F.col("label").cast("long").alias("label"), unit.alias("unit"))
+    e = embeddings.select(F.col("vec_id").cast("long"), F.col("label").cast("long"), F.col("embedding").cast("array<double>"))
+    return e.mapInArrow(_units, "vec_id long, label long, unit array<double>")
 
 
 def near_duplicates(embeddings: DataFrame, least: float = COSINE) -> DataFrame:
@@ -311,14 +344,15 @@ def near_duplicates(embeddings: DataFrame, least: float = COSINE) -> DataFrame:
             k = min(MAX_CENTRES, -(-sizes.get((label, dim), 1) // (SHARD // 4)), max(1, len(s) // 4))
             centres[int(label), int(dim)] = fit_centres(np.stack(s["unit"].to_list()), int(k))
     cells = points.select("point", "label", "unit").mapInArrow(_assign(centres, CLOSEST), "point long, label long, dim int, cell int")
-    cells = scratch.keep(cells)
-    counts = cells.groupBy("label", "dim", "cell").agg(F.count("*").alias("size"))
-    # A large shard becomes all pairs of its blocks.
+    cells = scratch.keep(cells.select("point", F.xxhash64("label", "dim", "cell").alias("cell")))
+    cells = scratch.keep(_refine(cells, points, scratch))
+    counts = cells.groupBy("cell").agg(F.count("*").alias("size"))
+    # What is still large becomes all pairs of its blocks.
     blocks = F.when(F.col("size") <= SHARD, F.lit(1)).otherwise(F.ceil(F.col("size") / (SHARD / 2)).cast("int"))
-    b = cells.join(counts, ["label", "dim", "cell"]).withColumn("blocks", blocks)
+    b = cells.join(counts, "cell").withColumn("blocks", blocks)
     b = b.withColumn("block", F.pmod(F.xxhash64("point"), F.col("blocks")).cast("int"))
     b = b.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter((F.col("blocks") == 1) | (F.col("block") != F.col("other")))
-    shard = F.xxhash64("label", "dim", "cell", F.least("block", "other"), F.greatest("block", "other"))
+    shard = F.xxhash64("cell", F.least("block", "other"), F.greatest("block", "other"))
     member = scratch.keep(b.select("point", shard.alias("shard")).distinct())
     body = points.select("point", "w", "unit")
     near = member.join(body.select("point", "unit"), "point").groupBy("shard").applyInPandas(_build(DEGREE, CANDIDATES, ALPHA), "point long, near array<bigint>")
@@ -347,15 +381,20 @@ def audit(embeddings: DataFrame, result: DataFrame, least: float = COSINE, every
     base = base.join(F.broadcast(blocks)).select("block", "part", "vec_id", "label", "unit", F.lit(False).alias("q"))
 
     def count(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[pdf["q"]], pdf[~pdf["q"]]
-        if not len(a) or not len(b):
-            return pd.DataFrame({"vec_id": [], "links": []})
-        sim = np.stack(a["unit"].to_list()) @ np.stack(b["unit"].to_list()).T
-        hit = (sim >= least) & (a["label"].to_numpy()[:, None] == b["label"].to_numpy()[None, :]) & (a["vec_id"].to_numpy()[:, None] != b["vec_id"].to_numpy()[None, :])
-        return pd.DataFrame({"vec_id": a["vec_id"].to_numpy(), "links": hit.sum(1)})
+        dim = pdf["unit"].map(len)
+        out = []
+        for _, g in pdf.groupby(dim):
+            a, b = g[g["q"]], g[~g["q"]]
+            if len(a) and len(b):
+                sim = np.stack(a["unit"].to_list()) @ np.stack(b["unit"].to_list()).T
+                hit = (sim >= least) & (a["label"].to_numpy()[:, None] == b["label"].to_numpy()[None, :])
+                out.append(pd.DataFrame({"vec_id": a["vec_id"].to_numpy(), "links": hit.sum(1)}))
+        return pd.concat(out) if out else pd.DataFrame({"vec_id": [], "links": []})
 
     true = both.union(base).groupBy("block", "part").applyInPandas(count, "vec_id long, links long").groupBy("vec_id").agg(F.sum("links").alias("links"))
-    j = true.join(result.select("vec_id", "n_links"), "vec_id").agg(F.coalesce(F.sum("links"), F.lit(0)).alias("links"), F.coalesce(F.sum("n_links"), F.lit(0)).alias("found"))
+    own = q.groupBy("vec_id").agg(F.count("*").alias("own"))  # each row meets itself once
+    got = result.groupBy("vec_id").agg(F.sum("n_links").alias("n_links"))
+    j = true.join(own, "vec_id").join(got, "vec_id").agg(F.coalesce(F.sum(F.col("links") - F.col("own")), F.lit(0)).alias("links"), F.coalesce(F.sum("n_links"), F.lit(0)).alias("found"))
     return j.withColumn("recall", F.when(F.col("links") > 0, F.col("found") / F.col("links")).otherwise(1.0))
 
 
