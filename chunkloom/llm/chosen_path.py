@@ -1,7 +1,7 @@
 """Jaccard similarity join on word shingles by chosen paths.
 
-Documents with the same set of five-word shingles form a class, represented by its smallest
-doc_id; the join runs on classes. Each class carries a MinHash sketch, so that a coordinate of
+Documents with the same set of five-word shingles count once, as the one of smallest doc_id;
+the join runs on these representatives. Each carries a MinHash sketch, so that a coordinate of
 the sketch is a uniformly sampled token of its set: two sets share it with probability equal to
 their similarity. A path of a run is a sequence of such sampled tokens. The first token puts
 every set in a bucket; a bucket of more than LEAF sets is split again, each set following two
@@ -303,11 +303,11 @@ def _leaves(classes: DataFrame, runs: int, scratch: Scratch) -> tuple[DataFrame,
 
 
 def similarity_join(documents: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, k: int = WORDS) -> DataFrame:
-    """doc_id, class_id, component_id, n_links, kept for every document.
+    """doc_id, class_id, n_links, kept, set_id for every document.
 
-    class_id is the smallest doc_id with the same shingle set, component_id the smallest doc_id
-    reachable by links, n_links the number of other documents at ``threshold`` or above (copies
-    included) and kept tells whether the document is the first of its component.
+    class_id is the smallest doc_id reachable by links, its own included; n_links the number of
+    other documents at ``threshold`` or above (copies included); kept tells whether the document is
+    the first of its class; set_id is the smallest doc_id with the same shingle set.
     """
     spark = documents.sparkSession
     scratch = Scratch(spark)
@@ -340,10 +340,10 @@ def similarity_join(documents: DataFrame, threshold: float = THRESHOLD, recall:
     comp = F.coalesce("component", "doc_id")
     return out.select(
         "doc_id",
-        F.coalesce("rep", "doc_id").alias("class_id"),
-        comp.alias("component_id"),
+        comp.alias("class_id"),
         F.coalesce(F.col("w") - 1 + F.col("links"), F.lit(0)).alias("n_links"),
         (F.col("doc_id") == comp).alias("kept"),
+        F.coalesce("rep", "doc_id").alias("set_id"),
     )
 
 

@@ -135,7 +135,7 @@ def shard_documents(documents: DataFrame, shards: int = SHARDS) -> DataFrame:
     d = scratch.keep(d)
     groups = d.groupBy("item").agg(F.sum("size").alias("size"), F.count("*").alias("rows"))
     assigned = scratch.keep(assign_groups(groups, shards, scratch))
-    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = min(1024, max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     out = slots(scratch.keep(d.join(assigned, "item").drop("item")), "shard", ["doc_id", "size", "text_crc32"], parts)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast(T.IntegerType()).alias("shard"), F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 

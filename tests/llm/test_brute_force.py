@@ -208,7 +208,7 @@ def test_join_against_all_pairs(spark):
     finally:
         chosen_path.LEAF = was
     assert {i: got[i].n_links for i in sets} == {i: len(links[i]) for i in sets}
-    assert {i: got[i].component_id for i in sets} == want
+    assert {i: got[i].class_id for i in sets} == want
 
 
 def test_cut_spans_are_whole_words(spark):

@@ -69,7 +69,7 @@ def test_defined_results(docs, labels, benchmark):
     assert (one.n_hit, one.n_items, one.contaminated) == (10, 2, True)
     assert s[2, 0].n_items == s[3, 0].n_items == s[4, 0].n_items == 0
     j = {r.doc_id: r for r in chosen_path.similarity_join(docs.filter("doc_id is not null")).collect()}
-    assert (j[6].component_id, j[6].n_links, j[5].kept, j[6].kept) == (5, 1, True, False)
+    assert (j[6].class_id, j[6].n_links, j[5].kept, j[6].kept) == (5, 1, True, False)
     assert j[2].n_links == 0 and j[2].kept and j[1].n_links == 1
     k = [r for r in kk_sharding.shard_documents(docs).collect()]
     assert {r.size for r in k if r.doc_id in (2, 3)} == {16}
