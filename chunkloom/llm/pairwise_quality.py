@@ -4,10 +4,11 @@ Each document gets some sixty features of its whole text (shares of byte classes
 of words, lines and shingles, lengths). The model is a linear score; for a preference pair
 (better, worse) the probability that the better one wins is the logistic function of the score
 difference, and the weights minimise that loss on feature differences. The cut is a quantile of
-the training documents' scores, at the share of worse labels; the returned score is 0.5 there.
+the scores of all labelled documents that are not held out, at the share of worse labels among
+them; the returned score is 0.5 there.
 
-Labels are learnt from at most MAX_TRAIN documents of each label, those of smallest hash of
-doc_id, and never from held-out ones: crc32(doc_id as text) mod 3 = 1.
+The weights are learnt from at most MAX_TRAIN documents of each label, those of smallest hash of
+doc_id; the cut is taken from all. Neither uses held-out ones: crc32(doc_id as text) mod 3 = 1.
 
 Defined results: null and empty texts have all-zero counts and a score like any other text;
 repeated rows get equal scores; null labels are ignored; without labels of both kinds all scores
@@ -23,21 +24,28 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkloom.llm.common import shingle_hashes, slices, table, word_bounds, word_hashes
+from chunkloom.llm.common import Scratch, shingle_hashes, slices, table, word_bounds, word_hashes
 
 #: Labelled documents of each label that training reads at most, and preference pairs drawn from them.
 MAX_TRAIN = 4000
 PAIRS = 40_000
+#: Parts that a range of scores is counted in to find a quantile.
+BINS = 4096
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
+def trainable(labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, y) of all labelled documents that are not held out."""
+    y = labels.select("doc_id", F.col(label).cast("int").alias("y")).filter(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("doc_id")))
+    return y.dropDuplicates(["doc_id"])
+
+
 def training_rows(documents: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
     """(doc_id, text, y) of at most ``most`` labelled documents of each label that are not held out."""
-    y = labels.select("doc_id", F.col(label).cast("int").alias("y")).filter(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("doc_id")))
-    y = y.dropDuplicates(["doc_id"])
+    y = trainable(labels, label)
     some = [y.filter(F.col("y") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for v in (0, 1)]
     return documents.select("doc_id", "text").join(F.broadcast(some[0].union(some[1])), "doc_id")  # bounded by 2 * most rows
 
@@ -117,10 +125,10 @@ def _expand(x: np.ndarray, mean: np.ndarray, dev: np.ndarray) -> np.ndarray:
 
 
 def fit(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, seed: int = 7) -> dict:
-    """Weights, and the score's centre and scale, from features and labels."""
+    """Weights, and the features' centre and scale, from features and labels."""
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     if not len(good) or not len(bad):
-        return {"mean": np.zeros(x.shape[1]), "dev": np.ones(x.shape[1]), "w": np.zeros(2 * x.shape[1]), "cut": 0.0, "scale": 1.0}
+        return {"mean": np.zeros(x.shape[1]), "dev": np.ones(x.shape[1]), "w": np.zeros(2 * x.shape[1])}
     mean, dev = x.mean(0), x.std(0) + 1e-3
     z = _expand(x, mean, dev)
     rng = np.random.default_rng(seed)
@@ -132,14 +140,33 @@ def fit(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, seed: int = 7) -> dict
         g = -(d.T @ p) / pairs + 1e-3 * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= 0.03 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    s = z @ w
-    cut = float(np.quantile(s, len(bad) / len(y)))
-    return {"mean": mean, "dev": dev, "w": w, "cut": cut, "scale": float(max(1.0, s.std() / 2))}
+    return {"mean": mean, "dev": dev, "w": w}
 
 
 def score(model: dict, x: np.ndarray) -> np.ndarray:
-    s = (_expand(x, model["mean"], model["dev"]) @ model["w"] - model["cut"]) / model["scale"]
-    return 1 / (1 + np.exp(-np.clip(s, -30, 30)))
+    return _expand(x, model["mean"], model["dev"]) @ model["w"]
+
+
+def quantile(scores: DataFrame, name: str, share: float) -> float:
+    """The quantile of a column without nulls, as numpy has it, by counting in ever smaller ranges; 0 without rows."""
+    n, lo, hi = scores.agg(F.count("*"), F.min(name), F.max(name)).first()
+    if not n:
+        return 0.0
+    at = share * (n - 1)
+    k = int(at)
+    x, below = F.col(name), 0  # below: rows under lo
+    while lo < hi:
+        part = F.least(F.floor((x - lo) / ((hi - lo) / BINS)), F.lit(BINS - 1))
+        bins = scores.filter(x.between(lo, hi)).groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.min(name).alias("lo"), F.max(name).alias("hi")).orderBy("part").collect()  # at most BINS rows
+        for i, b in enumerate(bins):
+            if k < below + b["n"]:
+                break
+            below += b["n"]
+        if k + 1 == below + b["n"]:  # the next rank stands in another part
+            after = bins[i + 1]["lo"] if i + 1 < len(bins) else b["hi"]
+            return b["hi"] + (at - k) * (after - b["hi"])
+        lo, hi = b["lo"], b["hi"]
+    return lo
 
 
 def _features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,12 +192,24 @@ def _score_all(model: dict):
     return run
 
 
+def centre(labelled: DataFrame) -> tuple[float, float]:
+    """The cut and the scale of the scores of all labelled documents: (score, y)."""
+    bad, dev = labelled.agg(F.avg(1 - F.col("y")), F.stddev_pop("score")).first()
+    if not bad or bad == 1:
+        return 0.0, 1.0
+    return quantile(labelled, "score", bad), max(1.0, dev / 2)
+
+
 def rate(documents: DataFrame, labels: DataFrame, cut: float = 0.5) -> DataFrame:
     """doc_id, held_out, score, predicted for every document."""
     model = train(documents, labels)
     d = documents.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    out = d.mapInArrow(_score_all(model), "doc_id long, held_out boolean, score double")
-    return out.withColumn("predicted", (F.col("score") >= cut).cast("int"))
+    scratch = Scratch(documents.sparkSession)
+    out = scratch.keep(d.mapInArrow(_score_all(model), "doc_id long, held_out boolean, score double"))
+    at, scale = centre(scratch.keep(out.join(trainable(labels, "quality"), "doc_id").select("score", "y")))
+    s = (F.col("score") - at) / scale
+    s = 1 / (1 + F.exp(-F.greatest(F.least(s, F.lit(30.0)), F.lit(-30.0))))
+    return out.withColumn("score", s).withColumn("predicted", (F.col("score") >= cut).cast("int"))
 
 
 def op10_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

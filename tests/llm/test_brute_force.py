@@ -233,6 +233,35 @@ def test_held_out_accuracy(spark, module, label, least):
     assert _auc(np.array([r.score for r in out]), np.array([y[r.doc_id] for r in out])) >= least
 
 
+def _few(monkeypatch, module, most):
+    """Training on at most ``most`` documents of each label."""
+    rows = module.training_rows
+    monkeypatch.setattr(module, "training_rows", lambda d, y, label, _: rows(d, y, label, most))
+
+
+def _labelled(spark, label, n, share):
+    """Documents whose text tells little of the label, and labels of which ``share`` are 1."""
+    r = np.random.default_rng(5)
+    texts = [" ".join(r.choice(["alpha", "Beta", "gamma", "delta,", "eps", "77"], 20)) for _ in range(n)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return docs, spark.createDataFrame([(i, int(i % 100 < 100 * share)) for i in range(n)], f"doc_id long, {label} int")
+
+
+def test_quality_cut_is_that_of_all_labels(spark, monkeypatch):
+    docs, labels = _labelled(spark, "quality", 1500, 0.85)
+    _few(monkeypatch, pairwise_quality, 60)
+    out = pairwise_quality.rate(docs, labels).join(labels, "doc_id").filter("not held_out").collect()
+    assert np.mean([r.predicted == 0 for r in out]) == pytest.approx(np.mean([r.quality == 0 for r in out]), abs=0.002)
+
+
+def test_quantile(spark):
+    r = np.random.default_rng(1)
+    for x in (r.standard_normal(501), np.repeat([1.0, 2.0, 1e6], [40, 50, 3]), np.zeros(3), np.array([4.0])):
+        d = spark.createDataFrame([(float(v),) for v in x], "s double")
+        for q in (0.0, 0.14, 0.5, 39.5 / 92, 1.0):
+            assert pairwise_quality.quantile(d, "s", q) == pytest.approx(np.quantile(x, q), abs=1e-12)
+
+
 def test_gradients(monkeypatch):
     monkeypatch.setattr(toxicity_gru, "F32", np.float64)
     texts = [b"you are an idiot and more", b"nice clean text", b"scum of the earth", b"hello world"]
