@@ -8,8 +8,9 @@ each epoch picks every document's highest window under the present weights and t
 on it. The first component of the vectors starts at the log-odds of the word, or their mean
 over the words with a trigram.
 
-Labels are learnt from at most MAX_TRAIN documents of each label, those of smallest hash of
-doc_id, and never from held-out ones: crc32(doc_id as text) mod 3 = 1.
+The network learns from at most MAX_TRAIN documents of each label, those of smallest hash of
+doc_id; they are weighted by the labels' counts over all labelled documents, so that the share of
+toxic ones is the same at every size. Neither uses held-out ones: crc32(doc_id as text) mod 3 = 1.
 
 Defined results: a null text, or one without words, gets the score of an empty window; repeated
 rows get equal scores; null labels are ignored; without labels of both kinds all scores are 0;
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chunkloom.llm.common import _KIND, _LOWER, _powers, mix64, slices, table, word_bounds, word_hashes
-from chunkloom.llm.pairwise_quality import held_out, training_rows
+from chunkloom.llm.pairwise_quality import held_out, trainable, training_rows
 
 WINDOW = 48
 STRIDE = 36
@@ -236,8 +237,8 @@ def _odds(numbers: np.ndarray, doc: np.ndarray, y: np.ndarray, n: int) -> tuple[
     return np.clip(odds, -3, 3) * df / (df + 6), df
 
 
-def fit(texts: list[bytes], y: np.ndarray, epochs: int = EPOCHS, seed: int = 3) -> dict | None:
-    """A trained model, or None without documents of both labels."""
+def fit(texts: list[bytes], y: np.ndarray, counts: dict[int, int] | None = None, epochs: int = EPOCHS, seed: int = 3) -> dict | None:
+    """A trained model, or None without documents of both labels; ``counts`` has the documents of each label that the texts stand for."""
     if len(y) == 0 or y.min() == y.max():
         return None
     off = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
@@ -253,7 +254,10 @@ def fit(texts: list[bytes], y: np.ndarray, epochs: int = EPOCHS, seed: int = 3)
     m = new_model(w.hashes[frequent], odds[frequent], tri_odds)
     rng = np.random.default_rng(seed)
     mom = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in m.items() if k != "vocabulary"}
-    balance = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) ** 0.5
+    counts = counts or {0: int((1 - y).sum()), 1: int(y.sum())}
+    share = counts[1] / (counts[0] + counts[1])
+    stands = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))  # 1 in the mean
+    balance = stands * np.where(y == 1, 0.5 / share, 0.5 / (1 - share)) ** 0.5
     t = 0
     for epoch in range(epochs):
         _, which = document_logits(m, w)
@@ -270,11 +274,11 @@ def fit(texts: list[bytes], y: np.ndarray, epochs: int = EPOCHS, seed: int = 3)
                 if name in ("Ew", "Ec"):
                     m[name] *= F32(1 - 0.02 * rate)
     best, _ = document_logits(m, w)
-    # One temperature and shift on the training documents' scores, at the labels' own share.
+    # One temperature and shift on the training documents' scores, at the share of all labels.
     s, c, b = best.astype(np.float64), 1.0, 0.0
     for _ in range(300):
         p = 1 / (1 + np.exp(-np.clip(c * s + b, -30, 30)))
-        r = p - y
+        r = stands * (p - y)
         c, b = max(0.2, c - 0.05 * (r * s).mean()), b - 0.2 * r.mean()
     m["calibration"] = (c, b)
     return m
@@ -283,9 +287,10 @@ def fit(texts: list[bytes], y: np.ndarray, epochs: int = EPOCHS, seed: int = 3)
 def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MAX_TRAIN) -> dict | None:
     got = training_rows(documents, labels, label, most).select("doc_id", "text", "y").toPandas().sort_values(["doc_id", "text"], kind="stable")
     got = got.drop_duplicates("text")
+    counts = documents.select("doc_id").join(trainable(labels, label), "doc_id").groupBy("y").count().collect()  # two rows
     texts, y = [(t or "").encode() for t in got["text"]], got["y"].to_numpy()
     del got
-    return fit(texts, y)
+    return fit(texts, y, {0: 1, 1: 1} | {r["y"]: r["count"] for r in counts})
 
 
 def probability(m: dict | None, w: Words) -> np.ndarray:

@@ -254,6 +254,13 @@ def test_quality_cut_is_that_of_all_labels(spark, monkeypatch):
     assert np.mean([r.predicted == 0 for r in out]) == pytest.approx(np.mean([r.quality == 0 for r in out]), abs=0.002)
 
 
+def test_toxicity_share_is_that_of_all_labels(spark, monkeypatch):
+    docs, labels = _labelled(spark, "toxic", 1500, 0.12)
+    _few(monkeypatch, toxicity_gru, 60)
+    out = toxicity_gru.rate(docs, labels).join(labels, "doc_id").filter("not held_out").collect()
+    assert np.mean([r.score for r in out]) == pytest.approx(np.mean([r.toxic for r in out]), abs=0.08)
+
+
 def test_quantile(spark):
     r = np.random.default_rng(1)
     for x in (r.standard_normal(501), np.repeat([1.0, 2.0, 1e6], [40, 50, 3]), np.zeros(3), np.array([4.0])):
