@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chunkloom.functions import encoding, keys
@@ -121,6 +121,40 @@ def fmrc_best_available(spark: SparkSession, d: str) -> DataFrame:
     return _fmrc(spark, d, fmrc.Aggregation.BEST_AVAILABLE, {"valid_time": _valid(spark)}, dt.datetime(2024, 1, 3))
 
 
+# The same on axes derived from the whole index: every step, valid time and run that it holds.
+
+_AXES_SQL = """v AS (SELECT valid, CAST(dense_rank() OVER (ORDER BY valid) - 1 AS INTEGER) AS vo FROM (SELECT DISTINCT run + to_hours(step_h) AS valid FROM k)),
+st AS (SELECT h, CAST(dense_rank() OVER (ORDER BY h) - 1 AS INTEGER) AS so FROM (SELECT DISTINCT step_h AS h FROM k)),
+tm AS (SELECT run, CAST(dense_rank() OVER (ORDER BY run) - 1 AS INTEGER) AS ro FROM (SELECT DISTINCT run FROM k))"""
+
+
+def _whole_axis(spark: SparkSession, d: str, name: str) -> DataFrame:
+    values = r.k_index(spark, d).select(name).distinct()
+    return values.select((F.dense_rank().over(Window.orderBy(name)) - 1).alias(f"{name}_ord"), name)  # short: one row a cell of the axis
+
+
+@query(f"WITH {r.K_INDEX_SQL}, {_AXES_SQL}, g AS (SELECT h, valid - to_hours(h) AS run, so || '.' || vo AS i FROM v, st) " + _OUT_SQL.format(key=_KEY_SQL.format(i="g.i"), grid="g"))
+def fmrc_horizon_whole(spark: SparkSession, d: str) -> DataFrame:
+    steps = _whole_axis(spark, d, "step").select(F.col("step_ord").alias("h"), F.lit(0).alias("step_no"), "step")
+    return _fmrc(spark, d, fmrc.Aggregation.HORIZON, {"step": steps, "valid_time": _whole_axis(spark, d, "valid_time")})
+
+
+@query(f"WITH {r.K_INDEX_SQL}, {_AXES_SQL}, g AS (SELECT h, valid - to_hours(h) AS run, vo || '.' || so AS i FROM v, st) " + _OUT_SQL.format(key=_KEY_SQL.format(i="g.i"), grid="g"))
+def fmrc_valid_time_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _fmrc(spark, d, fmrc.Aggregation.VALID_TIME, {"step": _whole_axis(spark, d, "step"), "valid_time": _whole_axis(spark, d, "valid_time")})
+
+
+@query(f"WITH {r.K_INDEX_SQL}, {_AXES_SQL}, g AS (SELECT h, run, ro || '.' || so AS i FROM tm, st) " + _OUT_SQL.format(key=_KEY_SQL.format(i="g.i"), grid="g"))
+def fmrc_run_time_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _fmrc(spark, d, fmrc.Aggregation.RUN_TIME, {"step": _whole_axis(spark, d, "step"), "time": _whole_axis(spark, d, "time")})
+
+
+@query(f"""WITH {r.K_INDEX_SQL}, {_AXES_SQL}, ref AS (SELECT max(run) AS last FROM k), g AS (SELECT least(valid, last) AS run, CAST(date_diff('hour', least(valid, last), valid) AS INTEGER) AS h, CAST(vo AS VARCHAR) AS i FROM v, ref) """ + _OUT_SQL.format(key=_KEY_SQL.format(i="g.i"), grid="g"))
+def fmrc_best_available_whole(spark: SparkSession, d: str) -> DataFrame:
+    last = r.k_index(spark, d).agg(F.max("time")).first()[0]
+    return _fmrc(spark, d, fmrc.Aggregation.BEST_AVAILABLE, {"valid_time": _whole_axis(spark, d, "valid_time")}, last)
+
+
 @query(f"WITH {r.K_INDEX_SQL} SELECT varname, level, CAST(lord AS INTEGER) AS level_ord, nlev AS n_levels FROM lev")
 def kindex_levels(spark: SparkSession, d: str) -> DataFrame:
     return fmrc.level_axis(r.k_index(spark, d)).select("varname", "level", "level_ord", "n_levels")

@@ -3,6 +3,7 @@ import pytest
 import __spark_entry__
 import chunkloom.plans.scan_queries  # noqa: F401
 from chunkloom.plans.queries import ORACLE, QUERIES
+from chunkloom.plans.recipes import k_index
 from tests.duck import SF, same
 
 
@@ -11,6 +12,11 @@ def test_query_equals_sql(spark, name):
     assert same(QUERIES[name](spark, SF), ORACLE[name]) > 0
 
 
+@pytest.mark.parametrize("kind", ["horizon", "valid_time", "run_time"])
+def test_whole_forecast_grid_has_every_chunk(spark, kind):
+    assert QUERIES[f"fmrc_{kind}_whole"](spark, SF).count() == k_index(spark, SF).count()
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
