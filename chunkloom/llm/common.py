@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A word is a run of a-z, 0-9 and all non-ASCII characters, after lower-casing A-Z.
 WORD_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same before lower-casing.
+ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,15 +24,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names; one of our own only where it names none."""
+    """The shared folder that the session names; one of our own only on a single machine whose session names none."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="chunkloom-")
         spark.sparkContext.setCheckpointDir(named)
         named = spark.sparkContext.getCheckpointDir()
     return named
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Parquet tables in the shared folder that cut lineage and survive lost executors."""
 
@@ -42,18 +52,61 @@ class Scratch:
         w = df.write
         if partition_by:
             w = w.partitionBy(partition_by)
-        w.parquet(path)
+        # Nothing reads the shuffles behind a written table again: their files go at once.
+        was = self.spark.conf.get(_CLEAN)
+        self.spark.conf.set(_CLEAN, "true")
+        try:
+            w.parquet(path)
+        finally:
+            self.spark.conf.set(_CLEAN, was)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
 
-    def drop(self, df: DataFrame) -> None:
-        """Delete a kept table that nothing reads any more."""
-        path = getattr(df, "_scratch_path", None)
-        if path:
-            jvm = self.spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    def drop(self, *kept: DataFrame) -> None:
+        """Delete kept tables that nothing reads any more."""
+        jvm = self.spark.sparkContext._jvm
+        for df in kept:
+            path = getattr(df, "_scratch_path", None)
+            if path:
+                p = jvm.org.apache.hadoop.fs.Path(path)
+                p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+#: Bits of the bitmaps that let rows pass by a join; their size is fixed, whatever the number of rows.
+BITMAP_BITS = 1 << 26
+
+
+def bit_of(*keys: Column) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(BITMAP_BITS))
+
+
+def bitmap_of(rows: DataFrame, *keys: str) -> np.ndarray:
+    """A bitmap of fixed size with the hashes of the rows' keys."""
+    bit = bit_of(*map(F.col, keys)) + 1  # the bitmap functions count from 1
+    parts = rows.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
+    out = np.zeros(BITMAP_BITS // 8, np.uint8)
+    for r in parts:  # at most BITMAP_BITS / 32768 rows of 4 KB
+        at = (r["bucket"] - 1) * 4096
+        out[at : at + 4096] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def bits_set(bitmap: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    return ((bitmap[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1).astype(bool)
+
+
+def has_bit(bitmap: np.ndarray):
+    """A column function: whether the bit is set. Only the numbers of bits go through Python."""
+    packed = zlib.compress(bitmap.tobytes(), 1)
+    cache: list[np.ndarray] = []
+
+    def test(bit: pd.Series) -> pd.Series:
+        if not cache:
+            cache.append(np.frombuffer(zlib.decompress(packed), np.uint8))
+        return pd.Series(bits_set(cache[0], bit.to_numpy()))
+
+    return F.pandas_udf(test, "boolean")
 
 
 _KIND = np.zeros(256, dtype=bool)
@@ -65,6 +118,16 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
 
+def is_word(data: np.ndarray) -> np.ndarray:
+    """Which bytes belong to words."""
+    return _KIND[data]
+
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z lower-cased."""
+    return _LOWER[data]
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Row ranges of at most ``limit`` text bytes (or one row) as (first, last, bytes, offsets).
 

@@ -11,8 +11,9 @@ The weights are learnt from at most MAX_TRAIN documents of each label, those of
 doc_id; the cut is taken from all. Neither uses held-out ones: crc32(doc_id as text) mod 3 = 1.
 
 Defined results: null and empty texts have all-zero counts and a score like any other text;
-repeated rows get equal scores; null labels are ignored; without labels of both kinds all scores
-are 0.5; an empty table gives an empty result. Only doc_id and text, doc_id and quality are read.
+repeated rows get equal scores; null labels are ignored, and a doc_id with both labels has none;
+without labels of both kinds all scores are 0.5; an empty table gives an empty result. Only doc_id
+and text, doc_id and quality are read.
 """
 
 from __future__ import annotations
@@ -38,16 +39,20 @@ def held_out(doc_id: Column) -> Column:
 
 
 def trainable(labels: DataFrame, label: str) -> DataFrame:
-    """(doc_id, y) of all labelled documents that are not held out."""
+    """(doc_id, y) of all labelled documents that are not held out; a doc_id with both labels has none."""
     y = labels.select("doc_id", F.col(label).cast("int").alias("y")).filter(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("doc_id")))
-    return y.dropDuplicates(["doc_id"])
+    return y.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("__cl_other")).filter("y = __cl_other").select("doc_id", "y")
 
 
 def training_rows(documents: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
-    """(doc_id, text, y) of at most ``most`` labelled documents of each label that are not held out."""
+    """(doc_id, text, y) of at most ``most`` labelled documents of each label that are not held out.
+
+    A repeated doc_id enters once, with its smallest text.
+    """
     y = trainable(labels, label)
     some = [y.filter(F.col("y") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for v in (0, 1)]
-    return documents.select("doc_id", "text").join(F.broadcast(some[0].union(some[1])), "doc_id")  # bounded by 2 * most rows
+    rows = documents.select("doc_id", "text").join(F.broadcast(some[0].union(some[1])), "doc_id")  # bounded by 2 * most rows
+    return rows.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y")
 
 
 _PUNCT = np.array([b for b in range(33, 127) if not chr(b).isalnum()])

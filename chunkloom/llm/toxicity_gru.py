@@ -8,18 +8,23 @@ each epoch picks every document's highest window under the present weights and t
 on it. The first component of the vectors starts at the log-odds of the word, or their mean
 over the words with a trigram.
 
-The network learns from at most MAX_TRAIN documents of each label, those of smallest hash of
-doc_id; they are weighted by the labels' counts over all labelled documents, so that the share of
-toxic ones is the same at every size. Neither uses held-out ones: crc32(doc_id as text) mod 3 = 1.
+The network learns from at most MAX_TRAIN documents and MAX_TRAIN_BYTES bytes of each label, in
+the order of a hash of doc_id (a text that no longer fits is passed over); they are weighted by the
+labels' counts over all labelled documents, so that the share of toxic ones is the same at every
+size. Neither uses held-out ones: crc32(doc_id as text) mod 3 = 1. Words in MIN_COUNT of these
+documents or more have a vector of their own, the MAX_VOCABULARY most frequent ones if they are
+more; others enter by their trigrams. One executor task fits the network; the driver gets its
+arrays alone, whose size the two bounds give.
 
 Defined results: a null text, or one without words, gets the score of an empty window; repeated
-rows get equal scores; null labels are ignored; without labels of both kinds all scores are 0;
-an empty table gives an empty result. Only doc_id, text and toxic are read; ``keep_clean``
-passes all columns through.
+rows get equal scores; null labels are ignored, and a doc_id with both labels has none; without
+labels of both kinds all scores are 0; an empty table gives an empty result. Only doc_id, text and
+toxic are read; ``keep_clean`` passes all columns through.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,8 +40,9 @@ STRIDE = 36
 HIDDEN = 8
 VECTOR = 12
 TRIGRAMS = 4096
-#: Labelled documents of each label that training reads at most, and words that have a vector of their own.
+#: Labelled documents and text bytes of each label that training reads at most, and words that have a vector of their own.
 MAX_TRAIN = 2000
+MAX_TRAIN_BYTES = 12 << 20
 MAX_VOCABULARY = 30_000
 MIN_COUNT = 4
 EPOCHS = 5
@@ -284,13 +290,33 @@ def fit(texts: list[bytes], y: np.ndarray, counts: dict[int, int] | None = None,
     return m
 
 
-def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MAX_TRAIN) -> dict | None:
-    got = training_rows(documents, labels, label, most).select("doc_id", "text", "y").toPandas().sort_values(["doc_id", "text"], kind="stable")
-    got = got.drop_duplicates("text")
+def _fit_task(counts: dict[int, int], most: int, most_bytes: int):
+    """Fit on the rows of one partition, taken in their order within the two bounds; one row with the model, or none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts: dict[bytes, int] = {}
+        rows, size = [0, 0], [0, 0]
+        for batch in batches:
+            for text, y in zip(batch.column("text"), batch.column("y").to_pylist(), strict=True):
+                raw = (text.as_py() or "").encode()
+                if raw not in texts and rows[y] < most and size[y] + len(raw) <= most_bytes:
+                    texts[raw] = y
+                    rows[y] += 1
+                    size[y] += len(raw)
+        m = fit(list(texts), np.array(list(texts.values()), np.int64), counts)
+        if m is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(m, 5)], pa.binary())], names=["model"])
+
+    return run
+
+
+def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MAX_TRAIN, most_bytes: int = MAX_TRAIN_BYTES) -> dict | None:
     counts = documents.select("doc_id").join(trainable(labels, label), "doc_id").groupBy("y").count().collect()  # two rows
-    texts, y = [(t or "").encode() for t in got["text"]], got["y"].to_numpy()
-    del got
-    return fit(texts, y, {0: 1, 1: 1} | {r["y"]: r["count"] for r in counts})
+    counts = {0: 1, 1: 1} | {r["y"]: r["count"] for r in counts}
+    rows = training_rows(documents, labels, label, most).withColumn("__cl_order", F.xxhash64("doc_id"))
+    rows = rows.repartition(1).sortWithinPartitions("__cl_order", "doc_id", "text").select("text", "y")  # at most 2 * most documents
+    got = rows.mapInArrow(_fit_task(counts, most, most_bytes), "model binary").collect()
+    return pickle.loads(got[0]["model"]) if got else None
 
 
 def probability(m: dict | None, w: Words) -> np.ndarray:
