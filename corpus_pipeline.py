@@ -10,7 +10,6 @@ sequences of 2048 tokens.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from chunkloom.llm import bestfit_packing, chosen_path, chunk_dedup, decontaminate, toxicity_gru
 from chunkloom.llm.common import Scratch, table
@@ -28,12 +27,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without copied runs; a document of which nothing is left goes."""
-    out = chunk_dedup.dedup_substrings(docs)
-    cut = F.col("__cl_n_cut_words") > 0
-    out = out.filter(~cut | (F.length(F.trim("text")) > 0))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(cut, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(docs.columns)
+    return chunk_dedup.cut_copies(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
