@@ -1,8 +1,10 @@
 """URL filter: rules by longest match, block decisions spread over redirect and canonical links.
 
 Pages and link targets are nodes (host, path and query; scheme and fragment do not count).
-Links come from ``<link rel=canonical href>`` and ``<meta http-equiv=refresh>``. Connected
-components are found on the linked nodes alone. A page with a rule of its own keeps the rule's
+Links come from every ``<link href>`` whose ``rel`` has the token ``canonical`` and every
+``<meta http-equiv=refresh>``, outside comments and of scripts, styles, titles and text areas;
+references are resolved as RFC 3986 has it, against ``<base href>`` if there is one, and dot
+segments are removed from all nodes. Connected components are found on the linked nodes alone. A page with a rule of its own keeps the rule's
 verdict, so an explicit allow beats a block elsewhere in its component; a page without one is
 blocked if any node of its component has a block rule, and allowed otherwise.
 
@@ -32,11 +34,27 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def without_dots(path: Column) -> Column:
+    """A path that begins with a slash, without its ``.`` and ``..`` segments."""
+    segments = F.split(path, "/")
+    none = F.array().cast("array<string>")
+
+    def step(kept: Column, s: Column) -> Column:
+        up = F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))
+        return F.when(s == "..", up).when(s == ".", kept).otherwise(F.concat(kept, F.array(s)))
+
+    kept = F.aggregate(F.slice(segments, F.lit(2), F.size(segments)), none, step)
+    last = F.when(F.element_at(segments, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(none)
+    return F.when(path.contains("/."), F.concat(F.lit("/"), F.array_join(F.concat(kept, last), "/"))).otherwise(path)
+
+
 def node_of(url: Column) -> Column:
-    """host, path and query; null without ``://``."""
+    """host, path without dot segments, and query; null without ``://``."""
     rest = F.regexp_extract(url, r"://[^/?#]*([^#]*)", 1)
-    path = F.when(rest.startswith("/"), rest).otherwise(F.concat(F.lit("/"), rest))
-    return F.when(F.instr(url, "://") > 0, F.concat(host_of(url), path))
+    path = F.regexp_extract(rest, r"^([^?]*)", 1)
+    query = F.regexp_extract(rest, r"^[^?]*(.*)$", 1)
+    path = F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))
+    return F.when(F.instr(url, "://") > 0, F.concat(host_of(url), without_dots(path), query))
 
 
 def rule_of(host: Column, path: Column, rules: tuple = RULES) -> Column:
@@ -56,35 +74,57 @@ def verdict_of(rule: Column, rules: tuple = RULES) -> Column:
     return out
 
 
-#: The tag, then the attribute's value in any of three quotings.
-_CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
-_REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\burl\s*=\s*["']?([^"'\s>]+)"""
+#: What holds no tags: comments and elements of text.
+_HIDDEN = r"(?is)<!--.*?(?:-->|$)|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<title\b.*?</title\s*>|<textarea\b.*?</textarea\s*>"
+_TAG = r"""(?is)<(?:link|meta|base)\b(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
+_ATTRIBUTE = r"""(?s)[^\s=>"'/<]+\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)"""
+_VALUE = r"(?s)=\s*(.*)$"
+#: The target in the content of a refresh.
+_TARGET = r"""(?is)^\s*[0-9.]*\s*[;,\s]\s*(?:url\s*=\s*)?["']?([^"']*)"""
+
+
+def _attribute(attributes: Column, name: str) -> Column:
+    """The value of the first attribute of this name, or an empty string."""
+    mine = F.get(F.filter(attributes, lambda a: F.lower(F.regexp_extract(a, r"^([^\s=]+)", 1)) == name), F.lit(0))
+    value = F.btrim(F.regexp_extract(mine, _VALUE, 1), F.lit("\"'"))
+    for entity in ("&amp;", "&#38;", "&#x26;"):
+        value = F.replace(value, F.lit(entity), F.lit("&"))
+    return F.coalesce(F.trim(value), F.lit(""))
 
 
 def resolve(base: Column, ref: Column) -> Column:
-    """An absolute URL from a reference found on page ``base``."""
+    """An absolute URL from a reference found on page ``base``; ``node_of`` removes its dot segments."""
     scheme = F.regexp_extract(base, r"^([^:/?#]*):", 1)
     origin = F.regexp_extract(base, r"^([^:/?#]*://[^/?#]*)", 1)
     folder = F.regexp_extract(base, r"^([^:/?#]*://[^/?#]*(?:/(?:[^?#]*/)?)?)", 1)
-    folder = F.when(folder.endswith("/"), folder).otherwise(F.concat(folder, F.lit("/")))
+    folder = F.when(folder.rlike("://[^/]*$"), F.concat(folder, F.lit("/"))).otherwise(folder)
     return (
-        F.when(ref.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), ref)
+        F.when(ref.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), ref)
         .when(ref.startswith("//"), F.concat(scheme, F.lit(":"), ref))
         .when(ref.startswith("/"), F.concat(origin, ref))
         .when(ref.startswith("?"), F.concat(F.regexp_extract(base, r"^([^?#]*)", 1), ref))
-        .when(ref.startswith("#"), base)
+        .when(ref.startswith("#") | (ref == ""), base)
         .otherwise(F.concat(folder, ref))
     )
 
 
 def link_edges(pages: DataFrame) -> DataFrame:
-    """(u, v): the node of a page and the node that it redirects to or names as canonical."""
+    """(u, v): the node of a page and each node that it redirects to or names as canonical."""
     low = F.lower(F.col("html"))
     p = pages.select("url", "html").filter(F.col("url").contains("://") & (low.contains("canonical") | low.contains("refresh")))
-    refs = F.array(*[F.regexp_extract("html", x, 1) for x in (_CANONICAL, _REFRESH)])
-    p = p.select("url", F.explode(refs).alias("ref")).filter(F.col("ref") != "")
-    ref = F.replace(F.col("ref"), F.lit("&amp;"), F.lit("&"))
-    return p.select(node_of(F.col("url")).alias("u"), node_of(resolve(F.col("url"), ref)).alias("v")).filter("u is not null and v is not null")
+    tags = F.regexp_extract_all(F.regexp_replace("html", _HIDDEN, ""), F.lit(_TAG), F.lit(0))
+    # An array of one binds its entry, so that tags and attributes are not taken out again for each use.
+    p = p.select("url", F.explode(F.array(tags)).alias("tags")).filter(F.size("tags") > 0)
+    parsed = F.transform("tags", lambda t: F.struct(F.lower(F.substring(t, 2, 4)).alias("kind"), F.regexp_extract_all(t, F.lit(_ATTRIBUTE), F.lit(0)).alias("a")))
+    p = p.select("url", F.explode(F.array(parsed)).alias("tags"))
+    based = F.get(F.filter("tags", lambda t: (t["kind"] == "base") & (_attribute(t["a"], "href") != "")), F.lit(0))
+    p = p.select("url", F.when(based.isNotNull(), resolve(F.col("url"), _attribute(based["a"], "href"))).otherwise(F.col("url")).alias("base"), F.explode("tags").alias("t"))
+    a = F.col("t.a")
+    canonical = (F.col("t.kind") == "link") & F.array_contains(F.split(F.lower(_attribute(a, "rel")), r"\s+"), "canonical")
+    refresh = (F.col("t.kind") == "meta") & (F.lower(_attribute(a, "http-equiv")) == "refresh")
+    ref = F.when(canonical, _attribute(a, "href")).when(refresh, F.trim(F.regexp_extract(_attribute(a, "content"), _TARGET, 1)))
+    p = p.select("url", "base", ref.alias("ref")).filter("ref <> ''")
+    return p.select(node_of(F.col("url")).alias("u"), node_of(resolve(F.col("base"), F.col("ref"))).alias("v")).filter("u is not null and v is not null")
 
 
 def judge(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
@@ -113,18 +153,41 @@ _RULE_SQL = "CASE " + " ".join(
 _VERDICT_SQL = "CASE {r} " + " ".join(f"WHEN '{r}' THEN '{v}'" for v, r in RULES) + " END"
 _LOWER_SQL = "translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _HOST_SQL = _LOWER_SQL.format(x="regexp_extract({u}, '://([^/?#]*)', 1)")
-_NODE_SQL = "CASE WHEN contains({u}, '://') THEN " + _HOST_SQL + " || CASE WHEN starts_with(regexp_extract({u}, '://[^/?#]*([^#]*)', 1), '/') THEN '' ELSE '/' END || regexp_extract({u}, '://[^/?#]*([^#]*)', 1) END"
+_DOTS_SQL = """CASE WHEN contains({p}, '/.') THEN '/' || array_to_string(list_reduce(list_prepend(CAST(['/'] AS VARCHAR[]), list_transform(string_split({p}, '/')[2:], lambda s: [s])),
+  lambda a, s: CASE WHEN s[1] = '..' THEN a[1:greatest(len(a) - 1, 1)] WHEN s[1] = '.' THEN a ELSE a || s END)[2:]
+  || CASE WHEN string_split({p}, '/')[-1] IN ('.', '..') THEN [''] ELSE [] END, '/') ELSE {p} END"""
+_REST_SQL = "regexp_extract({u}, '://[^/?#]*([^#]*)', 1)"
+_PATH_SQL = f"(CASE WHEN starts_with({_REST_SQL}, '/') THEN '' ELSE '/' END || regexp_extract({_REST_SQL}, '^([^?]*)', 1))"
+_NODE_SQL = "CASE WHEN contains({u}, '://') THEN " + _HOST_SQL + " || " + _DOTS_SQL.format(p=_PATH_SQL) + f" || regexp_extract({_REST_SQL}, '^[^?]*(.*)$', 1) END"
+_ATTRIBUTE_SQL = r"""coalesce(trim(replace(replace(replace(trim(regexp_extract(list_filter({a}, lambda x: lower(regexp_extract(x, '^([^\s=]+)', 1)) = '{name}')[1], '(?s)=\s*(.*)$', 1), '"' || chr(39)), '&amp;', '&'), '&#38;', '&'), '&#x26;', '&')), '')"""
+_RESOLVE_SQL = r"""CASE WHEN regexp_matches({r}, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN {r}
+  WHEN starts_with({r}, '//') THEN regexp_extract({b}, '^([^:/?#]*):', 1) || ':' || {r}
+  WHEN starts_with({r}, '/') THEN regexp_extract({b}, '^([^:/?#]*://[^/?#]*)', 1) || {r}
+  WHEN starts_with({r}, '?') THEN regexp_extract({b}, '^([^?#]*)', 1) || {r}
+  WHEN starts_with({r}, '#') OR {r} = '' THEN {b}
+  ELSE regexp_replace(regexp_extract({b}, '^([^:/?#]*://[^/?#]*(?:/(?:[^?#]*/)?)?)', 1), '(://[^/]*)$', '\1/') || {r} END"""
+
+
+def _quoted(pattern: str) -> str:
+    """A pattern as an SQL string, without the possessive marks that RE2 doesn't know."""
+    return "'" + pattern.replace("++", "+").replace("*+", "*").replace("'", "''") + "'"
+
+
 ORACLE_SQL = {
-    # The references on these tables are absolute; RE2 has no lookahead, so the tag is cut out first.
     "op4_redirect_filter": f"""
 WITH RECURSIVE p AS (SELECT page_id, url, html, coalesce({_HOST_SQL.format(u="url")}, '') AS host,
     coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path, {_NODE_SQL.format(u="url")} AS node FROM pages),
-tags AS (SELECT node, regexp_extract(html, '(?is)<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b[^>]*>') AS tag, 'href' AS a FROM p WHERE node IS NOT NULL
-  UNION ALL SELECT node, regexp_extract(html, '(?is)<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b[^>]*>'), 'url' FROM p WHERE node IS NOT NULL),
-refs AS (SELECT node AS u, replace(CASE a WHEN 'href' THEN regexp_extract(tag, '(?is)\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1)
-  ELSE regexp_extract(tag, '(?is)\\burl\\s*=\\s*["'']?([^"''\\s>]+)', 1) END, '&amp;', '&') AS ref FROM tags WHERE tag <> ''),
-e AS (SELECT u, {_NODE_SQL.format(u="ref")} AS v FROM refs WHERE contains(ref, '://')),
-both_ways AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
+tags AS (SELECT node, url, list_transform(regexp_extract_all(regexp_replace(html, {_quoted(_HIDDEN)}, '', 'g'), {_quoted(_TAG)}),
+    lambda t: {{'kind': lower(t[2:5]), 'a': regexp_extract_all(t, {_quoted(_ATTRIBUTE)})}}) AS tags FROM p WHERE node IS NOT NULL AND html IS NOT NULL),
+based AS (SELECT node, tags, url, coalesce(list_filter(list_transform(tags, lambda t: CASE WHEN t.kind = 'base' THEN {_ATTRIBUTE_SQL.format(a="t.a", name="href")} ELSE '' END), lambda x: x <> '')[1], '') AS b FROM tags),
+one AS (SELECT node, CASE WHEN b = '' THEN url ELSE {_RESOLVE_SQL.format(r="b", b="url")} END AS base, unnest(tags) AS t FROM based),
+refs AS (SELECT node AS u, base, CASE
+  WHEN t.kind = 'link' AND list_contains(regexp_split_to_array(lower({_ATTRIBUTE_SQL.format(a="t.a", name="rel")}), '\\s+'), 'canonical') THEN {_ATTRIBUTE_SQL.format(a="t.a", name="href")}
+  WHEN t.kind = 'meta' AND lower({_ATTRIBUTE_SQL.format(a="t.a", name="http-equiv")}) = 'refresh' THEN trim(regexp_extract({_ATTRIBUTE_SQL.format(a="t.a", name="content")}, {_quoted(_TARGET)}, 1))
+  ELSE '' END AS ref FROM one),
+targets AS (SELECT u, {_RESOLVE_SQL.format(r="ref", b="base")} AS target FROM refs WHERE ref <> ''),
+e AS (SELECT u, {_NODE_SQL.format(u="target")} AS v FROM targets WHERE contains(target, '://')),
+both_ways AS (SELECT u, v FROM e WHERE u <> v UNION SELECT v, u FROM e WHERE u <> v),
 reach(u, v) AS (SELECT DISTINCT u, u FROM both_ways UNION SELECT reach.u, both_ways.v FROM reach JOIN both_ways ON reach.v = both_ways.u),
 cc AS (SELECT u AS node, min(v) AS component,
   bool_or({_VERDICT_SQL.format(r="(" + _RULE_SQL.format(h="split_part(v, '/', 1)", p="regexp_extract(v, '^[^/]*([^?]*)', 1)") + ")")} = 'block') AS blocked

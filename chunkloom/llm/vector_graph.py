@@ -11,7 +11,8 @@
 4. The lists of all shards are united for each point.
 5. In each shard all its points are queries: a greedy search over the united lists starts at the
    medoids of the shard's parts and keeps a beam; as soon as it meets points within the range it expands
-   through all of them. What is found is verified by cosine in double precision.
+   through all of them. Cosines are taken only of points that a search meets. What is found is
+   verified by cosine in double precision.
 6. A pair found in several shards counts once: in the first common one. A shard returns one row
    per point, with its number of links and one edge of a spanning forest, and never pairs.
 
@@ -19,8 +20,11 @@
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components link
 with nothing, nor do those with a null label; vectors of different lengths link with nothing of
-another length; repeated rows are copies and link with each other; an empty table gives an empty
-result. Only vec_id, embedding and label are read.
+another length. Rows are told apart by label and vector, not by vec_id: repeated rows are copies
+and link with each other, rows of one vec_id with different vectors are different points, and a null
+vec_id hinders no link; component_id is the smallest vec_id that is not null, or null if none is,
+and kept compares null-safely. An empty table gives an empty result. Only vec_id, embedding and
+label are read.
 """
 
 from __future__ import annotations
@@ -37,8 +41,9 @@ from chunkloom.llm.common import Scratch, table
 from chunkloom.llm.components import connected_components
 
 COSINE = 0.98
-#: Vectors that fitting the centres reads at most, and centres of each label at most.
+#: Vectors and bytes of vectors that fitting the centres reads at most, and centres of each label at most.
 SAMPLE = 40_000
+SAMPLE_BYTES = 48 << 20
 MAX_CENTRES = 512
 CLOSEST = 2
 #: Splitting of large cells: levels, sample and centres of each, points that a task deals out at once, the share that tells near copies.
@@ -190,44 +195,60 @@ def _build(degree: int, candidates: int, alpha: float):
     return run
 
 
-def search_ranges(x: np.ndarray, lists: list[np.ndarray], least: float, beam: int, starts: np.ndarray) -> np.ndarray:
-    """found[q, v]: whether the search of query q, or that of v, met the other at cosine ``least`` or above.
+def search_ranges(x: np.ndarray, lists: list[np.ndarray], least: float, beam: int, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (u, v), u < v, of cosine ``least`` or above that the search of u or that of v met.
 
     All points are queries at once, as rows of matrices. Each query opens its best unopened point
     until that is worse than the ``beam`` best it has met; then it opens every point in range, or
-    a little beyond, that it has met, until it meets no more.
+    a little beyond, that it has met, until it meets no more. ``sim`` holds the cosines of met
+    points alone; -2 stands for the others.
     """
     n = len(x)
-    sim = x @ x.T
-    adj = np.zeros((n, n), bool)
-    adj[np.repeat(np.arange(n), [len(a) for a in lists]), np.concatenate(lists).astype(np.int64)] = True
-    seen, opened = np.zeros((2, n, n), bool)
-    seen[:, starts] = True
+    degree = np.array([len(a) for a in lists])
+    near = np.full((n, max(1, degree.max(initial=0))), n, np.int64)  # n: no neighbour
+    near[np.arange(near.shape[1])[None, :] < degree[:, None]] = np.concatenate(lists).astype(np.int64)
+    sim = np.full((n, n + 1), -2, x.dtype)
+    opened = np.zeros((n, n + 1), bool)
+    opened[:, n] = True
+    sim[:, starts] = x @ x[starts].T
+
+    def meet(q: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Take the cosines of the points' neighbours that their queries have not met."""
+        v = near[points]
+        q = np.broadcast_to(q[:, None], v.shape)
+        new = (v < n) & (sim[q, v] == -2)
+        q, v = q[new], v[new]
+        for k in range(0, len(q), 1 << 16):
+            a, b = q[k : k + (1 << 16)], v[k : k + (1 << 16)]
+            sim[a, b] = np.einsum("ij,ij->i", x[a], x[b])
+        return q, v
+
     bound = np.full(n, -2, x.dtype)
     live, step = np.arange(n), 0
     while len(live):
-        s, met = sim[live], seen[live]
+        s = sim[live]
         if step % 4 == 0 and beam < n:
-            bound[live] = np.partition(np.where(met, s, -2), n - beam, axis=1)[:, n - beam]
-        todo = np.where(met & ~opened[live], s, -2)
+            bound[live] = np.partition(s, n + 1 - beam, axis=1)[:, n + 1 - beam]
+        todo = np.where(opened[live], -2, s)
         pick = todo.argmax(1)
         best = todo[np.arange(len(live)), pick]
         go = (best > -2) & (best >= bound[live])
         live, pick = live[go], pick[go]
         opened[live, pick] = True
-        seen[live] |= adj[pick]
+        meet(live, pick)
         step += 1
-    reach = sim >= least - SLACK
-    front = seen & reach & ~opened
-    step_to = adj.astype(np.float32)
-    while (q := np.flatnonzero(front.any(1))).size:
-        opened[q] |= front[q]
-        new = ((front[q].astype(np.float32) @ step_to) > 0) & ~seen[q]
-        seen[q] |= new
-        front[:] = False
-        front[q] = new & reach[q]
-    found = seen & (sim >= least)
-    return found | found.T
+    reach = least - SLACK
+    q, v = np.nonzero((sim >= reach) & ~opened)
+    while len(q):
+        opened[q, v] = True
+        news = [meet(q[k : k + 4096], v[k : k + 4096]) for k in range(0, len(q), 4096)]
+        q, v = (np.concatenate(c) for c in zip(*news, strict=True))
+        new = np.unique((q * (n + 1) + v)[sim[q, v] >= reach])
+        q, v = new // (n + 1), new % (n + 1)
+        shut = ~opened[q, v]
+        q, v = q[shut], v[shut]
+    found = sim[:, :n] >= least
+    return np.nonzero(np.triu(found | found.T, 1))
 
 
 def _lowest(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -269,9 +290,7 @@ def _search(least: float, beam: int):
             at[at == n] = 0
             lists.append(np.unique(at[point[at] == a]))
         starts = medoids(x, lists)
-        found = search_ranges(x.astype(np.float32), lists, least - 1e-4, beam, starts)
-        np.fill_diagonal(found, False)
-        u, v = np.nonzero(np.triu(found))
+        u, v = search_ranges(x.astype(np.float32), lists, least - 1e-4, beam, starts)
         exact = np.empty(len(u))
         for k in range(0, len(u), 1 << 18):
             exact[k : k + (1 << 18)] = np.einsum("ij,ij->i", x[u[k : k + (1 << 18)]], x[v[k : k + (1 << 18)]])
@@ -332,17 +351,22 @@ def near_duplicates(embeddings: DataFrame, least: float = COSINE) -> DataFrame:
     spark = embeddings.sparkSession
     scratch = Scratch(spark)
     rows = scratch.keep(_points(embeddings).withColumn("key", F.md5(F.concat_ws(",", F.col("label").cast("string"), F.col("unit").cast("array<string>")))))
-    points = rows.filter("unit is not null").groupBy("key").agg(F.min("vec_id").alias("point"), F.count("*").alias("w"), F.first("label").alias("label"), F.first("unit").alias("unit"))
-    points = scratch.keep(points)
+    points = rows.filter("unit is not null").groupBy("key").agg(F.min("vec_id").alias("first"), F.count("*").alias("w"), F.first("label").alias("label"), F.first("unit").alias("unit"))
+    # Numbers of their own, given once and read back from the written table.
+    points = scratch.keep(points.withColumn("point", F.monotonically_increasing_id()))
     sizes = {(r["label"], r["dim"]): r["count"] for r in points.groupBy("label", F.size("unit").alias("dim")).count().orderBy(F.desc("count"), "label", "dim").limit(MAX_CENTRES).collect()}
-    total = sum(sizes.values())
-    sample = points.select("label", "unit", F.xxhash64("point").alias("h")).orderBy("h").limit(SAMPLE).toPandas() if total else pd.DataFrame({"label": [], "unit": []})
+    longest = points.agg(F.max(F.size("unit"))).first()[0]
     centres = {}
-    if total:
-        sample["dim"] = sample["unit"].map(len)
-        for (label, dim), s in sample.groupby(["label", "dim"], sort=True):
-            k = min(MAX_CENTRES, -(-sizes.get((label, dim), 1) // (SHARD // 4)), max(1, len(s) // 4))
-            centres[int(label), int(dim)] = fit_centres(np.stack(s["unit"].to_list()), int(k))
+    if longest:
+        most = max(1, min(SAMPLE, SAMPLE_BYTES // (8 * longest)))
+        sample = points.select("label", "unit", F.xxhash64("key").alias("h")).orderBy("h", "key").limit(most).select("label", "unit").toArrow().combine_chunks()
+        label, dim = sample["label"].to_numpy(), sample["unit"].combine_chunks().value_lengths().to_numpy()
+        for kind in sorted({*zip(label.tolist(), dim.tolist(), strict=True)}):
+            part = sample["unit"].filter(pa.array((label == kind[0]) & (dim == kind[1]))).combine_chunks()
+            x = part.flatten().to_numpy().reshape(-1, kind[1]).astype(np.float32)
+            k = min(MAX_CENTRES, -(-sizes.get(kind, 1) // (SHARD // 4)), max(1, len(x) // 4))
+            centres[kind] = fit_centres(x, int(k))
+        del sample
     cells = points.select("point", "label", "unit").mapInArrow(_assign(centres, CLOSEST), "point long, label long, dim int, cell int")
     cells = scratch.keep(cells.select("point", F.xxhash64("label", "dim", "cell").alias("cell")))
     cells = scratch.keep(_refine(cells, points, scratch))
@@ -362,12 +386,14 @@ def near_duplicates(embeddings: DataFrame, least: float = COSINE) -> DataFrame:
     found = member.join(full, "point").groupBy("shard").applyInPandas(_search(least, BEAM), "point long, links long, low long")
     found = scratch.keep(found)
     cc = connected_components(found.select(F.col("point").alias("u"), F.col("low").alias("v")), scratch)
-    per = points.select("key", "point", "w").join(found.groupBy("point").agg(F.sum("links").alias("links")), "point", "left").join(cc, F.col("point") == F.col("node"), "left")
-    per = per.select("key", "point", "w", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "point").alias("component"))
+    per = points.select("key", "first", "point", "w").join(found.groupBy("point").agg(F.sum("links").alias("links")), "point", "left").join(cc, F.col("point") == F.col("node"), "left")
+    per = scratch.keep(per.select("key", "first", "w", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "point").alias("component")))
+    low = per.groupBy("component").agg(F.min("first").alias("low"))
+    per = per.join(low, "component").select("key", "w", "links", "low", F.lit(True).alias("has"))
     ok = F.col("unit").isNotNull()
-    out = rows.select("vec_id", F.when(ok, F.col("key")).alias("key"), ok.alias("ok")).join(per, "key", "left")
-    comp = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce(F.col("w") - 1 + F.col("links"), F.lit(0)).cast("long").alias("n_links"), comp.alias("component_id"), (F.col("vec_id") == comp).alias("kept"))
+    out = rows.select("vec_id", F.when(ok, F.col("key")).alias("key")).join(per, "key", "left")
+    comp = F.when(F.col("has"), F.col("low")).otherwise(F.col("vec_id"))
+    return out.select("vec_id", F.coalesce(F.col("w") - 1 + F.col("links"), F.lit(0)).cast("long").alias("n_links"), comp.alias("component_id"), F.col("vec_id").eqNullSafe(comp).alias("kept"))
 
 
 def audit(embeddings: DataFrame, result: DataFrame, least: float = COSINE, every: int = 20) -> DataFrame:
@@ -375,10 +401,9 @@ def audit(embeddings: DataFrame, result: DataFrame, least: float = COSINE, every
     rows = _points(embeddings).filter("unit is not null")
     scratch = Scratch(embeddings.sparkSession)
     q = scratch.keep(rows.filter(F.col("vec_id") % every == 0).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(16))))
-    blocks = q.select("block").distinct()
     base = rows.withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(16)))
     both = q.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(15)))).withColumn("q", F.lit(True)).select("block", "part", "vec_id", "label", "unit", "q")
-    base = base.join(F.broadcast(blocks)).select("block", "part", "vec_id", "label", "unit", F.lit(False).alias("q"))
+    base = base.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(15)))).select("block", "part", "vec_id", "label", "unit", F.lit(False).alias("q"))
 
     def count(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         dim = pdf["unit"].map(len)

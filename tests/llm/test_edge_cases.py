@@ -1,5 +1,6 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,6 +111,34 @@ def test_urls(spark):
     assert redirect_filter.judge(df.filter("false")).collect() == []
 
 
+LINKS = [
+    (1, "http://start.org/a", '<meta http-equiv=refresh content="0; url=/b"><meta http-equiv="Refresh" content="5;URL=\'http://bad.net/x\'">'),  # all matches count
+    (2, "http://alt.org/x", "<LINK REL='alternate Canonical' HREF='http://bad.net/y'>"),
+    (3, "http://hidden.org/x", '<!-- <link rel="canonical" href="http://bad.net/z"> --><script>"<link rel=canonical href=http://bad.net/z>"</script><p>'),
+    (4, "http://dots.org/a/b/c", '<link rel=canonical href="../../q/./r/../s">'),
+    (5, "http://dots.org/q/s", '<link rel=canonical href=http://bad.net/w>'),
+    (6, "http://based.org/x/y", '<base href="//dots.org/q/"><link href="s" rel="canonical">'),
+    (7, "http://title.org", '<link title=" rel=canonical " href="http://bad.net/x">'),
+    (8, "http://query.org/a?x=1", '<link rel=canonical href="?x=1&amp;y=2">'),
+    (9, "http://query.org/a?x=1&y=2", None),
+    (10, "http://self.org/a", '<link rel=canonical href="#top">'),
+    (11, "http://quoted.org/a", '<link data-x="a > b" rel="canonical" href="http://bad.net/v">'),
+    (12, "http://mail.org/a", '<link rel=canonical href="mailto:a@bad.net">'),
+    (13, "http://start.org/b", "no links"),
+]
+
+
+def test_links(spark):
+    df = spark.createDataFrame(LINKS, "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in redirect_filter.judge(df).collect()}
+    assert got == {i: "block" if i in (1, 2, 4, 5, 6, 11, 13) else "allow" for i in range(1, 14)}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", LINKS)
+    want = con.execute(redirect_filter.ORACLE_SQL["op4_redirect_filter"]).fetchall()
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in redirect_filter.judge(df).collect())
+
+
 def test_tools(spark):
     calls = spark.createDataFrame(
         [
