@@ -387,7 +387,13 @@ def keep_one(documents: DataFrame, threshold: float = THRESHOLD, recall: float =
     many = per.select(*_SET, "component").join(size.select("component"), "component")
     rows = scratch.keep(d.join(many, _SET).select("doc_id", "tkey", "component"))
     stays = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "tkey")).alias("stays")
-    rows = rows.join(rows.groupBy("component").agg(stays), "component")
+    # A large class is met by several copies of its line, each by a share of its rows.
+    parts = F.ceil(F.count("*") / LEAF).cast("int").alias("parts")
+    stays = rows.groupBy("component").agg(stays, parts).select("component", "stays", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    most = stays.agg(F.coalesce(F.max("part"), F.lit(0)) + 1).first()[0]
+    rows = rows.join(stays.groupBy("component").agg(F.max("part").alias("last")).filter("last > 0"), "component", "left") if most > 1 else rows.withColumn("last", F.lit(0))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "tkey"), F.coalesce("last", F.lit(0)) + 1).cast("int")).drop("last")
+    rows = rows.join(stays, ["component", "part"])
     first = F.col("doc_id").eqNullSafe(F.col("stays.doc_id")) & (F.col("tkey") == F.col("stays.tkey"))
     n = rows.groupBy(F.col("doc_id").alias("__cl_doc"), F.col("tkey").alias("__cl_tkey")).agg(F.max(first).alias("__cl_first"), F.count("*").alias("__cl_n"))
     n = scratch.keep(n.filter("not __cl_first or __cl_n > 1"))

@@ -194,7 +194,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["p"][:n], _POWERS["q"][:n]
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 21) -> np.ndarray:
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 18) -> np.ndarray:
     """64-bit hash of each lower-cased word, from prefix sums of a polynomial modulo 2**64.
 
     Works through blocks of bytes, so that its temporary arrays stay small.

@@ -58,6 +58,19 @@ def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + n, n)
 
 
+#: Distinct words whose trigrams are worked on at once.
+BLOCK = 1 << 14
+
+
+def _trigrams(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Numbers of the trigrams of each word's bytes with a mark at either end; as many as it has bytes."""
+    flat = np.full(int((size + 2).sum()), 1, np.uint64)
+    head = np.cumsum(size + 2) - (size + 2)
+    flat[_ranges(head + 1, size)] = _LOWER[data[_ranges(first, size)]]
+    pos = _ranges(head, size)
+    return (mix64(flat[pos] << np.uint64(16) | flat[pos + 1] << np.uint64(8) | flat[pos + 2]) % np.uint64(TRIGRAMS)).astype(np.int32)
+
+
 class Words:
     """The words of a slice of documents: distinct ones, trigrams of each, windows."""
 
@@ -68,14 +81,9 @@ class Words:
         n = np.bincount(owner, minlength=self.n_docs)
         self.hashes, at, self.word = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
         a, b = starts[at], ends[at]
-        # Trigrams over the word's bytes with a mark at either end.
-        size = b - a
-        flat = np.full(int((size + 2).sum()), 1, np.uint64)
-        head = np.cumsum(size + 2) - (size + 2)
-        flat[_ranges(head + 1, size)] = _LOWER[data[_ranges(a, size)]]
-        pos = _ranges(head, size)
-        self.tri = (mix64(flat[pos] << np.uint64(16) | flat[pos + 1] << np.uint64(8) | flat[pos + 2]) % np.uint64(TRIGRAMS)).astype(np.int32)
-        self.tri_n = size
+        self.tri_n = b - a
+        parts = [_trigrams(data, a[k : k + BLOCK], self.tri_n[k : k + BLOCK]) for k in range(0, len(a), BLOCK)]
+        self.tri = np.concatenate(parts) if parts else np.zeros(0, np.int32)
         # Windows.
         first = np.cumsum(n) - n
         per = np.where(n > 0, np.maximum(0, -(-(n - WINDOW) // STRIDE)) + 1, 0)
@@ -124,10 +132,13 @@ def vectors(m: dict, w: Words, which: np.ndarray | None = None) -> np.ndarray:
     if which is not None:
         tri = tri[_ranges((np.cumsum(n) - n)[which], n[which])]
         row, n = row[which], n[which]
-    if not len(n):
-        return np.zeros((0, VECTOR), F32)
-    chars = np.add.reduceat(m["Ec"].take(tri, axis=0), np.cumsum(n) - n) / n[:, None].astype(F32)
-    return m["Ew"].take(row, axis=0) + chars
+    out = m["Ew"].take(row, axis=0)
+    ends = np.cumsum(n)
+    for k in range(0, len(n), BLOCK):
+        part = slice(k, k + BLOCK)
+        at = ends[part] - n[part]
+        out[part] += np.add.reduceat(m["Ec"].take(tri[at[0] : ends[part][-1]], axis=0), at - at[0]) / n[part, None].astype(F32)
+    return out
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -159,7 +170,7 @@ def _pool(m: dict, states: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np
     return a, ctx, ctx @ m["u"] + m["b"][0]
 
 
-def window_logits(m: dict, w: Words, step: int = 4096) -> np.ndarray:
+def window_logits(m: dict, w: Words, step: int = 2048) -> np.ndarray:
     x = vectors(m, w)
     gates = {d: x @ m["W" + d] + m["c" + d] for d in "fb"}
     out = np.zeros(len(w.doc), F32)
