@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from chunkloom.llm import bestfit_packing, chat_tools, chosen_path, chunk_dedup, decontaminate, kk_sharding, pairwise_quality, redirect_filter, toxicity_gru, vector_graph
+from chunkloom.llm.common import Scratch
 
 LONG = " ".join(f"w{i * 7919 % 100003}" for i in range(20_000))
 ROWS = [(1, "a b c d e f g h i j"), (1, "a b c d e f g h i j"), (2, None), (3, ""), (4, "..  !!"), (5, LONG), (6, LONG), (None, "null id here"), (7, "x"), (8, "Ünïcode ÄÖ 中文 \U0001f600 é"), (None, None)]
@@ -111,6 +112,24 @@ def test_urls(spark):
     assert redirect_filter.judge(df.filter("false")).collect() == []
 
 
+def test_levels(spark):
+    back = [("a", []), ("b", ["a"]), ("c", ["b"])]
+    more = [
+        ("late", ["x"]), ("x", []), ("two", ["c", "late"]), ("three", ["two", "a", "gone"]), ("four", ["three"]), ("five", ["four", "two"]),
+        ("r1", ["r2"]), ("r2", ["r1"]), ("behind", ["r1"]), ("both", ["r1", "a"]), ("after", ["both"]), ("self", ["self"]),
+    ]
+    chain = [(f"n{i}", [f"n{i + 1}"]) for i in range(40)] + [("n40", [])]
+    rows = [(1, c, d) for c, d in back] + [(2, c, d) for c, d in back + more] + [(3, c, d) for c, d in chain]
+    calls = spark.createDataFrame(rows, "conv_id long, call_id string, depends_on array<string>")
+    got = {(r.conv_id, r.call_id): r.level for r in chat_tools.levels(calls, Scratch(spark)).collect()}
+    assert len(got) == len(rows)
+    # A chain has the same levels whatever else its conversation holds.
+    assert [got[k, c] for k in (1, 2) for c in "abc"] == [0, 1, 2, 0, 1, 2]
+    assert [got[2, c] for c in ("late", "x", "two", "three", "four", "five")] == [1, 0, 3, 4, 5, 6]
+    assert all(got[2, c] is None for c in ("r1", "r2", "behind", "both", "after", "self"))
+    assert [got[3, f"n{i}"] for i in range(41)] == [40 - i for i in range(41)]
+
+
 LINKS = [
     (1, "http://start.org/a", '<meta http-equiv=refresh content="0; url=/b"><meta http-equiv="Refresh" content="5;URL=\'http://bad.net/x\'">'),  # all matches count
     (2, "http://alt.org/x", "<LINK REL='alternate Canonical' HREF='http://bad.net/y'>"),
