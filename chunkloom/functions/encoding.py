@@ -65,3 +65,10 @@ def encode_fill_value(value: Column, kind: Column) -> Column:
 def step_hours(valid: Column, run: Column) -> Column:
     """Hours between a run and its valid time."""
     return (F.unix_micros(valid.cast("timestamp")) - F.unix_micros(run.cast("timestamp"))) / F.lit(3600e6)
+
+
+def edited_json(text: Column, **changed: Column) -> Column:
+    """A JSON object's text with some of its members replaced."""
+    kept = F.map_filter(F.from_json(text, "map<string,variant>"), lambda n, _: ~n.isin(*changed))
+    new = F.create_map(*[x for n, v in changed.items() for x in (F.lit(n), F.to_variant_object(v))])
+    return F.to_json(F.map_concat(kept, new))

@@ -25,8 +25,8 @@ def message_lengths(idx: DataFrame, sizes: DataFrame | None = None) -> DataFrame
     nxt = F.lead("offset").over(Window.partitionBy("uri").orderBy("line_no"))
     if sizes is None:
         return idx.withColumn("length", nxt - F.col("offset"))
-    j = idx.withColumn("_next", nxt).join(sizes, "uri", "left")
-    return j.withColumn("length", F.coalesce("_next", "file_size") - F.col("offset")).drop("_next", "file_size")
+    j = idx.withColumn("__next", nxt).join(sizes.select("uri", F.col("file_size").alias("__size")), "uri", "left")
+    return j.withColumn("length", F.coalesce("__next", "__size") - F.col("offset")).drop("__next", "__size")
 
 
 def duplicate_attrs(idx: DataFrame) -> DataFrame:
@@ -43,17 +43,18 @@ def require_unique_attrs(idx: DataFrame, what: str = "grib file") -> DataFrame:
 def keep_first(idx: DataFrame) -> DataFrame:
     """The first line of each (uri, attrs)."""
     w = Window.partitionBy("uri", "attrs").orderBy("line_no")
-    return idx.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    return idx.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
 
 
 def grib_mapping(idx: DataFrame, messages: DataFrame, validate: bool = False) -> DataFrame:
-    """Index lines, left-joined with the scanned messages by number; both offsets and lengths stay.
+    """Index lines, left-joined with the scanned messages by file and number; both offsets and lengths stay.
 
-    idx: idx, offset, length, attrs ...; messages: idx, offset, length, varname, ...
+    idx: uri, idx, offset, length, attrs ...; messages: uri, idx, offset, length, varname, ... Without
+    a uri on either side all rows are of one file.
     """
     a = idx.withColumnsRenamed({"offset": "offset_idx", "length": "length_idx"})
     b = messages.withColumnsRenamed({"offset": "offset_grib", "length": "length_grib"})
-    m = a.join(b, "idx", "left")
+    m = a.join(b, ["uri", "idx"] if "uri" in a.columns and "uri" in b.columns else "idx", "left")
     if validate:
         bad = m.filter("offset_grib is not null").agg(F.count_if((F.col("offset_idx") != F.col("offset_grib")) | (F.col("length_idx") != F.col("length_grib"))).alias("bad"), F.count("*").alias("n")).first()
         if bad["bad"]:

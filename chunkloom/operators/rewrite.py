@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,10 +21,21 @@ def drop_prefixes(refs: DataFrame, prefixes: tuple[str, ...] | str) -> DataFrame
 
 def rename_targets(refs: DataFrame, renames: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
     """Replace paths that renames(old, new) names; broadcast if it is counted as small."""
-    r = renames.select(F.col("old").alias("path"), F.col("new").alias("_new"))
+    r = renames.select(F.col("old").alias("path"), F.col("new").alias("__new"))
     small = r.limit(broadcast_rows + 1).count() <= broadcast_rows
     j = refs.join(F.broadcast(r) if small else r, "path", "left")
-    return j.withColumn("path", F.coalesce("_new", "path")).drop("_new").select(refs.columns)
+    return j.withColumn("path", F.coalesce("__new", "path")).drop("__new").select(refs.columns)
+
+
+def inline(refs: DataFrame, threshold: int) -> DataFrame:
+    """Byte ranges below the threshold, and whole files of metadata, fetched and put in place; other rows as they are."""
+    from chunkloom.sources.ranges import fill_raw
+
+    small = F.coalesce(should_inline(threshold), F.lit(False)) & F.col("path").isNotNull()
+    got = fill_raw(refs.filter(small))
+    for c in ("path", "offset", "size"):
+        got = got.withColumn(c, F.lit(None).cast(refs.schema[c].dataType))
+    return refs.filter(~small).unionByName(got)
 
 
 def should_inline(threshold: int) -> Column:
@@ -46,26 +59,64 @@ def arrays_to_inline(arrays: DataFrame, threshold: int = 1000, names: tuple[str,
 
 
 def inline_arrays(chunks: DataFrame, arrays: DataFrame, threshold: int = 1000, names: tuple[str, ...] = ()) -> DataFrame:
-    """(var, raw): the bytes of each small array, its chunks joined in C order (chunks along the first axis)."""
+    """(var, raw): the bytes of each small array in C order, put together from its uncompressed chunks.
+
+    Cells of missing chunks are zero bytes. An array named in ``names`` has to fit a task, as its one chunk will.
+    """
     picked = arrays_to_inline(arrays, threshold, names).filter("inline").select("var")
-    rows = chunks.join(F.broadcast(picked), "var", "left_semi")
-    joined = F.array_sort(F.collect_list(F.struct("index", "raw")))
-    return rows.groupBy("var").agg(joined.alias("c")).select("var", F.expr("unhex(array_join(transform(c, x -> hex(x.raw)), ''))").alias("raw"))
+    rows = chunks.select("var", "index", "raw").join(arrays.select("var", "shape", F.col("chunks").alias("chunk"), "itemsize").join(picked, "var", "left_semi"), "var")
+
+    def whole(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        shape, chunk = (tuple(int(x) for x in pdf[c].iloc[0]) for c in ("shape", "chunk"))
+        dtype = np.dtype(f"V{int(pdf['itemsize'].iloc[0])}")
+        out = np.zeros(shape, dtype)
+        for index, raw in zip(pdf["index"], pdf["raw"], strict=True):
+            at = tuple(slice(i * c, min(s, (i + 1) * c)) for i, c, s in zip(index, chunk, shape, strict=True))
+            part = np.frombuffer(bytes(raw), dtype).reshape(chunk) if shape else np.frombuffer(bytes(raw), dtype)[0]
+            out[at] = part[tuple(slice(0, x.stop - x.start) for x in at)] if shape else part
+        return pd.DataFrame({"var": [key[0]], "raw": [out.tobytes()]})
+
+    return rows.groupBy("var").applyInPandas(whole, "var string, raw binary")
+
+
+def split_plan(chunk: list[int], factor: int) -> list[tuple[int, int]]:
+    """(axis, parts) to split chunks into ``factor`` ranges: leading axes whole, the last one by what is left."""
+    out = []
+    for axis, c in enumerate(chunk):
+        if factor == 1:
+            break
+        if c == 1:
+            continue
+        if c % factor == 0:
+            return [*out, (axis, factor)]
+        if factor % c:
+            break
+        out.append((axis, c))
+        factor //= c
+    if factor != 1:
+        raise ValueError(f"Must subchunk by an exact factor, which {factor} of {chunk} is not")
+    return out
+
+
+def _split_axis(index: Column, axis: int, n: int, part: Column) -> Column:
+    return F.transform(index, lambda x, i: F.when(i == axis, x * n + part).otherwise(x))
 
 
 def subchunk(chunks: DataFrame, shape: list[int], chunk: list[int], factor: int, compressed: bool = False) -> DataFrame:
-    """Split each uncompressed chunk into ``factor`` byte ranges along the first axis longer than one."""
+    """Split each uncompressed chunk into ``factor`` byte ranges, along the first axes longer than one."""
     if compressed:
         raise ValueError("Can only subchunk uncompressed arrays")
-    axis = next((i for i, c in enumerate(chunk) if c > 1), 0)
-    if chunk[axis] % factor:
-        raise ValueError(f"Must subchunk by an exact factor, not {factor} of {chunk[axis]}")
+    plan = split_plan(chunk, factor)
     if chunks.filter("raw is not null").limit(1).count():
         raise ValueError("Can't subchunk inlined data")
-    parts = chunks.withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(factor - 1))))
-    index = F.transform("index", lambda x, i: F.when(i == axis, x * factor + F.col("_p")).otherwise(x))
+    parts = chunks.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(factor - 1))))
+    index, below = F.col("index"), factor
+    for axis, n in plan:
+        below //= n
+        here = F.expr(f"cast((`__part` div {below}) % {n} as int)")
+        index = _split_axis(index, axis, n, here)
     size = F.expr(f"size div {factor}")
-    return parts.withColumn("index", index).withColumn("offset", F.col("offset") + F.col("_p") * size).withColumn("size", size).drop("_p")
+    return parts.withColumn("index", index).withColumn("offset", F.col("offset") + F.col("__part") * size).withColumn("size", size).drop("__part")
 
 
 def dereference_archives(refs: DataFrame, members: DataFrame) -> DataFrame:
@@ -76,24 +127,23 @@ def dereference_archives(refs: DataFrame, members: DataFrame) -> DataFrame:
     """
     arch = F.regexp_extract("path", r"^(?:zip|tar)://.*?::(.*)$", 1)
     memb = F.regexp_extract("path", r"^(?:zip|tar)://(.*?)::", 1)
-    m = members.select(F.col("archive").alias("_a"), F.col("member").alias("_m"), "member_offset", "member_size")
-    j = refs.withColumn("_arch", F.when(F.col("path").rlike(r"^(zip|tar)://.*::"), arch)).withColumn("_memb", memb)
-    j = j.join(m, (F.col("_arch") == F.col("_a")) & (F.col("_memb") == F.col("_m")), "left")
-    hit = F.col("_a").isNotNull()
+    m = members.select(F.col("archive").alias("__a"), F.col("member").alias("__m"), F.col("member_offset").alias("__at"), F.col("member_size").alias("__size"))
+    j = refs.withColumn("__arch", F.when(F.col("path").rlike(r"^(zip|tar)://.*::"), arch)).withColumn("__memb", memb)
+    j = j.join(m, (F.col("__arch") == F.col("__a")) & (F.col("__memb") == F.col("__m")), "left")
+    hit = F.col("__a").isNotNull()
     whole = F.coalesce("size", F.lit(0)) == 0
-    j = j.withColumn("offset", F.when(hit, F.coalesce("offset", F.lit(0)) + F.col("member_offset")).otherwise(F.col("offset")))
-    j = j.withColumn("size", F.when(hit & whole, F.col("member_size")).otherwise(F.col("size"))).withColumn("path", F.when(hit, F.col("_arch")).otherwise(F.col("path")))
+    j = j.withColumn("offset", F.when(hit, F.coalesce("offset", F.lit(0)) + F.col("__at")).otherwise(F.col("offset")))
+    j = j.withColumn("size", F.when(hit & whole, F.col("__size")).otherwise(F.col("size"))).withColumn("path", F.when(hit, F.col("__arch")).otherwise(F.col("path")))
     return j.select(refs.columns)
 
 
 def templateize(refs: DataFrame, min_length: int = 10, name: str = "u") -> DataFrame:
-    """Add template (null if the paths' common prefix is too short) and the path with it cut to ``{{name}}``."""
-    p = refs.agg(common_prefix(F.min("path"), F.max("path")).alias("_prefix"))
-    j = refs.crossJoin(F.broadcast(p))
-    use = F.char_length("_prefix") >= min_length
-    j = j.withColumn("template", F.when(use, F.col("_prefix")))
-    short = F.concat(F.lit("{{" + name + "}}"), F.col("path").substr(F.char_length("_prefix") + 1, F.char_length("path")))
-    return j.withColumn("path", F.when(use, short).otherwise(F.col("path"))).drop("_prefix")
+    """Add template (null if the paths' common prefix is too short) and the path with it cut to ``{name}``."""
+    prefix = refs.agg(common_prefix(F.min("path"), F.max("path")).alias("p")).first()["p"]
+    if prefix is None or len(prefix) < min_length:
+        return refs.withColumn("template", F.lit(None).cast("string"))
+    short = F.concat(F.lit("{" + name + "}"), F.col("path").substr(F.lit(len(prefix) + 1), F.char_length("path")))
+    return refs.withColumn("template", F.lit(prefix)).withColumn("path", short)
 
 
 def expand_generator(spark, dims: dict[str, tuple[int, int, int] | list], key: str, url: str, offset: str | None = None, length: str | None = None) -> DataFrame:
@@ -112,5 +162,5 @@ def record_layout(refs: DataFrame, arrays: DataFrame, record_size: int = 100_000
     from chunkloom.functions.keys import c_order
 
     a = arrays.select("var", grid_of(F.col("shape"), F.col("chunks")).alias("grid"))
-    j = refs.join(F.broadcast(a), "var").withColumn("number", c_order(F.col("index"), F.col("grid")))
+    j = refs.join(a, "var").withColumn("number", c_order(F.col("index"), F.col("grid")))
     return j.withColumn("rec_no", F.expr(f"number div {record_size}")).withColumn("row_no", F.col("number") % record_size).drop("grid")

@@ -41,19 +41,14 @@ def passed_attrs(attrs: Column) -> Column:
 
 
 def dimension_names(axes: DataFrame) -> DataFrame:
-    """(array, axis, name): the one scale's name, the array's own if it is a scale, else a numbered stand-in.
+    """(array, axis, name): the one scale's name, the array's own if it is a scale, else a stand-in by the axis' number.
 
-    axes: array, axis, size, scales (array of names), is_scale. More than one scale on an axis is an
-    error. Unnamed axes of equal size share a number within the file, in order of appearance.
+    axes: array, axis, scales (array of names), is_scale. Several scales on an axis of an array
+    that is no scale itself are an error.
     """
-    base = axes.select("array", "axis", "size", "scales", "is_scale")
-    n = base.select("*", F.when(F.size("scales") > 1, F.raise_error(F.concat(F.lit("several dimension scales on one axis of "), F.col("array")))).cast("string").alias("_bad"))
-    blank = (F.size("scales") == 0) & ~F.col("is_scale")
-    sizes = n.filter(blank).groupBy("size").agg(F.min(F.struct("array", "axis")).alias("first"))
-    sizes = sizes.select("size", (F.row_number().over(Window.orderBy("first")) - 1).alias("no"))  # one row per distinct size
-    j = n.join(F.broadcast(sizes), "size", "left")
-    name = F.coalesce("_bad", F.when(F.size("scales") == 1, F.get("scales", F.lit(0))).when(F.col("is_scale"), F.col("array")).otherwise(F.concat(F.lit("phony_dim_"), F.col("no").cast("string"))))
-    return j.select("array", "axis", name.alias("name"))
+    bad = F.raise_error(F.concat(F.lit("several dimension scales on one axis of "), F.col("array"))).cast("string")
+    name = F.when(F.size("scales") == 1, F.get("scales", F.lit(0))).when(F.col("is_scale"), F.col("array")).when(F.size("scales") > 1, bad)
+    return axes.select("array", "axis", name.otherwise(F.concat(F.lit("phony_dim_"), F.col("axis").cast("string"))).alias("name"))
 
 
 def record_chunks(variables: DataFrame) -> DataFrame:
@@ -121,7 +116,8 @@ def linear_world(pixel: Column, reference_pixel: Column, reference_value: Column
 def vlen_labels(ids: DataFrame, labels: DataFrame, policy: str = "encode") -> DataFrame:
     """Add label to (array, pos, id): looked up, null, or the id left as it is.
 
-    policy: 'embed' and 'encode' look up, 'null' gives nulls, 'leave' the ids.
+    policy: 'embed' and 'encode' look up, 'null' gives nulls, 'leave' the ids. Of several labels of
+    one id the smallest counts.
     """
     if policy == "leave":
         return ids.withColumn("label", F.col("id"))
@@ -129,4 +125,5 @@ def vlen_labels(ids: DataFrame, labels: DataFrame, policy: str = "encode") -> Da
         return ids.withColumn("label", F.lit(None).cast("string"))
     if policy not in ("embed", "encode"):
         raise ValueError(f"unknown policy {policy}")
-    return ids.join(labels.select("id", "label").dropDuplicates(["id"]), "id", "left").select(*ids.columns, "label")
+    one = labels.groupBy("id").agg(F.min("label").alias("label"))
+    return ids.join(one, "id", "left").select(*ids.columns, "label")

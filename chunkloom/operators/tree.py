@@ -39,7 +39,7 @@ def extract_chunk_index(refs: DataFrame, coords: DataFrame, dims: list[str], gri
 
     refs: index, path, offset, size, raw. coords: dim, ord, value. grids: (size, chunk) of each
     dimension; a chunk has to be one cell or the whole dimension. Dimensions in one chunk get no column;
-    inline chunks have offset and length -1.
+    inline chunks have offset and length -1. A chunk whose coordinate is missing stays, with a null.
     """
     for d, (n, c) in grids.items():
         if c not in (1, n):
@@ -49,8 +49,8 @@ def extract_chunk_index(refs: DataFrame, coords: DataFrame, dims: list[str], gri
     names = []
     for i, d in enumerate(dims):
         if grids[d][1] == 1:
-            c = coords.filter(F.col("dim") == d).select(F.col("ord").alias("_o"), F.col("value").alias(d))
-            out = out.join(c, F.get("index", F.lit(i)) == F.col("_o")).drop("_o")
+            c = coords.filter(F.col("dim") == d).select(F.col("ord").alias("__ord"), F.col("value").alias(d))
+            out = out.join(c, F.get("index", F.lit(i)) == F.col("__ord"), "left").drop("__ord")
             names.append(d)
     return out.select(*names, "uri", "offset", "length", "inline_value")
 

@@ -52,17 +52,17 @@ def idx_keep_first(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _messages(spark: SparkSession, d: str) -> DataFrame:
-    e = r.table(spark, d, "events").filter("user_id = 1 and event_id % 3 <> 0")
-    return e.select((F.col("event_id") % 1000).cast("int").alias("idx"), (F.col("event_id") * 100).alias("offset"), F.lit(100).alias("length"), F.col("event_type").alias("varname"))
+    e = r.table(spark, d, "events").filter("event_type <> 'view'")
+    return e.select(F.concat(F.lit("s3://idx/"), F.col("user_id").cast("string")).alias("uri"), F.col("event_id").cast("int").alias("idx"), (F.col("event_id") * 100).alias("offset"), F.lit(100).alias("length"), F.col("event_type").alias("varname"))
 
 
-@query(f"""WITH {r.LINES_SQL}, g AS (SELECT CAST(event_id % 1000 AS INTEGER) AS idx, event_id * 100 AS og, 100 AS lg, event_type AS varname FROM events WHERE user_id = 1 AND event_id % 3 <> 0),
-q AS (SELECT *, lead("offset") OVER (PARTITION BY uri ORDER BY line_no) - "offset" AS length FROM p WHERE uri = 's3://idx/1')
-SELECT q.idx, line_no, attrs, "offset" AS offset_idx, length AS length_idx, og AS offset_grib, lg AS length_grib, varname FROM q LEFT JOIN g ON q.idx = g.idx""")
+@query(f"""WITH {r.LINES_SQL}, g AS (SELECT 's3://idx/' || user_id AS uri, CAST(event_id AS INTEGER) AS idx, event_id * 100 AS og, 100 AS lg, event_type AS varname FROM events WHERE event_type <> 'view'),
+q AS (SELECT *, lead("offset") OVER (PARTITION BY uri ORDER BY line_no) - "offset" AS length FROM p)
+SELECT q.uri, q.line_no, attrs, "offset" AS offset_idx, length AS length_idx, og AS offset_grib, lg AS length_grib, varname FROM q LEFT JOIN g ON q.uri = g.uri AND q.line_no = g.idx""")
 def idx_grib_mapping(spark: SparkSession, d: str) -> DataFrame:
-    one = idx.message_lengths(idx.parse_lines(r.index_lines(spark, d).filter("uri = 's3://idx/1'")))
-    m = idx.grib_mapping(one.select("idx", "line_no", "attrs", "offset", "length"), _messages(spark, d))
-    return m.select("idx", "line_no", "attrs", "offset_idx", "length_idx", "offset_grib", "length_grib", "varname")
+    lines = idx.message_lengths(idx.parse_lines(r.index_lines(spark, d)))
+    m = idx.grib_mapping(lines.select("uri", F.col("line_no").cast("int").alias("idx"), "line_no", "attrs", "offset", "length"), _messages(spark, d))
+    return m.select("uri", "line_no", "attrs", "offset_idx", "length_idx", "offset_grib", "length_grib", "varname")
 
 
 def _mapping(spark: SparkSession, d: str) -> DataFrame:
@@ -255,9 +255,8 @@ def coordinate_detection(spark: SparkSession, d: str) -> DataFrame:
 SELECT ds_idx, key FROM x WHERE NOT (starts_with(var, '1') OR starts_with(var, '2')) OR n = 1""")
 def combine_route(spark: SparkSession, d: str) -> DataFrame:
     m = r.manifest(spark, d)
-    names = {x: [v["var"] for v in m.filter(F.col("var").startswith(x)).select("var").distinct().collect()] for x in ("1", "2", "5")}
-    coords = spark.createDataFrame([(v,) for v in names["2"]] or [("",)], "var string")
-    return combine.route(m, names["5"], names["1"], coords).select("ds_idx", "key")
+    v = F.col("var")
+    return combine.route_by(m, v.startswith("5"), v.startswith("1"), m.filter(v.startswith("2")).select("var").distinct()).select("ds_idx", "key")
 
 
 @query(f"""WITH {r.MANIFEST_SQL}, {r.COORDINATES_SQL}, b AS (SELECT max(ds_idx) + 1 AS n FROM c WHERE ds_idx % 2 = 0),
@@ -270,12 +269,13 @@ def append_rekey(spark: SparkSession, d: str) -> DataFrame:
     return combine.dataset_ordinals(both)
 
 
-@query(f"WITH {r.MANIFEST_SQL} SELECT DISTINCT path, ds_idx AS by_index, regexp_extract(path, 'arc/([0-9]+)', 1) AS by_group, regexp_extract(path, '[0-9]+[.]nc', 0) AS whole, 7 AS constant, 'x' AS word, 'v' || ds_idx AS attr, (ds_idx + 1) * 10 AS listed, make_timestamp(1970, 1, 1, 0, 0, 0) + to_days(ds_idx) AS cf FROM m WHERE ds_idx < 4")
+@query(f"WITH {r.MANIFEST_SQL} SELECT DISTINCT path, ds_idx AS by_index, regexp_extract(path, 'arc/([0-9]+)', 1) AS by_group, regexp_extract(path, '[0-9]+[.]nc', 0) AS whole, 7 AS constant, 'x' AS word, 'v' || ds_idx AS attr, (ds_idx % 4 + 1) * 10 AS listed, make_timestamp(1970, 1, 1, 0, 0, 0) + to_days(ds_idx) AS cf FROM m")
 def selectors(spark: SparkSession, d: str) -> DataFrame:
-    m = r.manifest(spark, d).filter("ds_idx < 4").select("ds_idx", "path").distinct()
+    m = r.manifest(spark, d).select("ds_idx", "path").distinct()
     attrs = F.concat(F.lit('{"units":"days since 1970-01-01","a":"v'), F.col("ds_idx").cast("string"), F.lit('"}'))
-    s = lambda x: combine.selector(x, url=F.col("path"), ds_idx=F.col("ds_idx"), attrs=attrs, var=F.lit("q"), values=F.col("ds_idx").cast("double"))
-    return m.select("path", s("INDEX").alias("by_index"), s(re.compile("arc/([0-9]+)")).alias("by_group"), s(re.compile("[0-9]+[.]nc")).alias("whole"), s(7).alias("constant"), s("x").alias("word"), s("attr:a").alias("attr"), s([10, 20, 30, 40]).alias("listed"), s("cf:q").alias("cf"))
+    s = lambda x, i=F.col("ds_idx"): combine.selector(x, url=F.col("path"), ds_idx=i, attrs=attrs, var=F.lit("q"), values=F.col("ds_idx").cast("double"))
+    listed = s([10, 20, 30, 40], F.col("ds_idx") % 4)
+    return m.select("path", s("INDEX").alias("by_index"), s(re.compile("arc/([0-9]+)")).alias("by_group"), s(re.compile("[0-9]+[.]nc")).alias("whole"), s(7).alias("constant"), s("x").alias("word"), s("attr:a").alias("attr"), listed.alias("listed"), s("cf:q").alias("cf"))
 
 
 @query(f"WITH {r.MANIFEST_SQL}, n AS (SELECT ds_idx, CAST(max(i) + 1 AS BIGINT) AS n_chunks FROM m GROUP BY ds_idx) SELECT ds_idx, n_chunks, CAST(coalesce(sum(n_chunks) OVER (ORDER BY ds_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM n")
@@ -335,22 +335,11 @@ def archive_deref(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {r.MANIFEST_SQL}, b AS (SELECT min(path) AS lo, max(path) AS hi FROM m),
 x AS (SELECT max(n) AS n, any_value(lo) AS lo FROM b, range(200) t(n) WHERE n <= least(length(lo), length(hi)) AND lo[1:n] = hi[1:n])
-SELECT ds_idx, key, CASE WHEN n >= 9 THEN lo[1:n] END AS template, CASE WHEN n >= 9 THEN '{{{{u}}}}' || substr(path, CAST(n + 1 AS INTEGER)) ELSE path END AS path FROM m, x""")
+SELECT ds_idx, key, CASE WHEN n >= 9 THEN lo[1:n] END AS template, CASE WHEN n >= 9 THEN '{{u}}' || substr(path, CAST(n + 1 AS INTEGER)) ELSE path END AS path FROM m, x""")
 def templateize(spark: SparkSession, d: str) -> DataFrame:
     return rewrite.templateize(r.manifest(spark, d).select("ds_idx", "key", "path"), 9)
 
 
-@query("SELECT 'v/' || i || '.' || j AS key, 's3://b/' || w || '_' || i AS path, CAST((i + 1) * 1000 AS BIGINT) AS \"offset\", CAST(100 + j AS BIGINT) AS size FROM range(5) a(i), range(0, 6, 2) b(j), (VALUES ('x'), ('y')) c(w)")
-def gen_expand(spark: SparkSession, d: str) -> DataFrame:
-    return rewrite.expand_generator(spark, {"i": (0, 5, 1), "j": (0, 6, 2), "w": ["x", "y"]}, "concat('v/', i, '.', j)", "concat('s3://b/', w, '_', i)", "(i + 1) * 1000", "100 + j")
-
-
-@query(f"WITH {r.MANIFEST_SQL} SELECT ds_idx, key, path FROM m")
-def template_render(spark: SparkSession, d: str) -> DataFrame:
-    t = r.manifest(spark, d).select("ds_idx", "key", F.replace("path", F.lit("s3://arc"), F.lit("{{u}}")).alias("path"))
-    return t.withColumn("path", encoding.render_template(F.col("path"), "u", F.lit("s3://arc")))
-
-
 @query("SELECT event_id, props AS plain, CASE WHEN event_id % 2 = 0 THEN event_type ELSE 'base64:' || base64(encode('é' || event_type)) END AS inline FROM events")
 def consolidate_encode(spark: SparkSession, d: str) -> DataFrame:
     e = r.table(spark, d, "events")
@@ -386,21 +375,6 @@ def nearest_select(spark: SparkSession, d: str) -> DataFrame:
     return combine.nearest(combine.union_coordinates(r.coordinates(spark, d)), pts)
 
 
-_CELLS_SQL = "cells AS (SELECT label, vec_id, unnest(embedding) AS value, unnest(range(len(embedding))) AS x FROM embeddings)"
-
-
-@query(f"WITH {_CELLS_SQL} SELECT x, max(value) AS top FROM cells GROUP BY x")
-def cells_max_over_time(spark: SparkSession, d: str) -> DataFrame:
-    c = r.table(spark, d, "embeddings").select(F.posexplode("embedding").alias("x", "value"))
-    return c.groupBy(F.col("x").cast("bigint").alias("x")).agg(F.max("value").alias("top"))
-
-
-@query(f"WITH {_CELLS_SQL} SELECT label, x, round(avg(CAST(value AS DOUBLE)), 9) AS mean FROM cells GROUP BY label, x")
-def cells_mean(spark: SparkSession, d: str) -> DataFrame:
-    c = r.table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("x", "value"))
-    return c.groupBy("label", F.col("x").cast("bigint").alias("x")).agg(F.round(F.avg(F.col("value").cast("double")), 9).alias("mean"))
-
-
 @query(f"WITH {r.MANIFEST_SQL} SELECT ds_idx, key FROM m WHERE NOT (starts_with(key, '1-') OR starts_with(key, '5-LOW/1'))")
 def drop_prefix(spark: SparkSession, d: str) -> DataFrame:
     return rewrite.drop_prefixes(r.manifest(spark, d), ("1-", "5-LOW/1")).select("ds_idx", "key")
@@ -417,8 +391,3 @@ def key_parts(spark: SparkSession, d: str) -> DataFrame:
 def unify_levels(spark: SparkSession, d: str) -> DataFrame:
     n = F.get(F.array(*map(F.lit, ("step", "isobaricInhPa", "surface", "latitude"))), (F.col("event_id") % 4).cast("int"))
     return r.table(spark, d, "events").select("event_id", keys.grib_coord(n).alias("coord"))
-
-
-@query("SELECT event_id, value * 2.0 + 1.5 AS physical FROM events")
-def scale_offset(spark: SparkSession, d: str) -> DataFrame:
-    return r.table(spark, d, "events").select("event_id", encoding.physical(F.col("value"), F.lit(2.0), F.lit(1.5)).alias("physical"))

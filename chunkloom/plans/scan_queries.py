@@ -29,13 +29,14 @@ def transferred_attributes(spark: SparkSession, d: str) -> DataFrame:
     return r.table(spark, d, "customer").select("c_custkey", F.size(scanning.passed_attrs(attrs)).alias("n_attrs"))
 
 
-@query("""WITH a AS (SELECT c_name AS arr, 0 AS axis, c_nationkey AS size, c_custkey % 3 AS k, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey),
-s AS (SELECT size, row_number() OVER (ORDER BY f) - 1 AS no FROM (SELECT size, min(arr) AS f FROM a WHERE k = 2 GROUP BY size))
-SELECT arr AS "array", axis, CASE k WHEN 0 THEN n_name WHEN 1 THEN arr ELSE 'phony_dim_' || no END AS name FROM a LEFT JOIN s USING (size)""")
+@query("""SELECT c_name AS "array", axis, CASE c_custkey % 3 WHEN 0 THEN n_name WHEN 1 THEN c_name ELSE 'phony_dim_' || axis END AS name
+FROM customer JOIN nation ON c_nationkey = n_nationkey, (VALUES (0), (1), (2)) t(axis)""")
 def dimension_naming(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("c_custkey") % 3
-    c = r.table(spark, d, "customer").join(F.broadcast(r.table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
-    return scanning.dimension_names(c.select(F.col("c_name").alias("array"), F.lit(0).alias("axis"), F.col("c_nationkey").alias("size"), F.when(k == 0, F.array("n_name")).otherwise(F.array().cast("array<string>")).alias("scales"), (k == 1).alias("is_scale")))
+    c = r.table(spark, d, "customer").join(r.table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    c = c.withColumn("axis", F.explode(F.array(*map(F.lit, range(3)))))
+    scales = F.when(k == 0, F.array("n_name")).when((k == 1) & (F.col("axis") == 2), F.array("n_name", "c_name")).otherwise(F.array().cast("array<string>"))
+    return scanning.dimension_names(c.select(F.col("c_name").alias("array"), "axis", scales.alias("scales"), (k == 1).alias("is_scale")))
 
 
 @query("SELECT p_name AS var, p_name || '/' || i || CASE WHEN p_size % 2 = 0 THEN '.0' ELSE '' END AS key, p_partkey + i * 100 AS \"offset\", CAST(p_size AS BIGINT) AS size FROM part, range(50) t(i) WHERE i < p_size % 5 + 1")
@@ -119,18 +120,10 @@ def inherited_attributes(spark: SparkSession, d: str) -> DataFrame:
     return tree.inherited_attribute(top.union(low), "a")
 
 
-@query("SELECT event_id AS pos, [0, 15, 45][event_id % 3 + 1] AS step, CAST(event_id // 143 AS INTEGER) AS batch FROM events WHERE event_id < 1000")
+@query("SELECT event_id AS pos, [0, 15, 45][event_id % 3 + 1] AS step, CAST(event_id // ((SELECT count(*) + 6 FROM events) // 7) AS INTEGER) AS batch FROM events")
 def tiled_steps(spark: SparkSession, d: str) -> DataFrame:
-    e = r.table(spark, d, "events").filter("event_id < 1000").select(F.col("event_id").alias("pos"))
-    return tree.tiled_steps(e, [0, 15, 45]).withColumn("batch", tree.batch_number(F.col("pos"), 1000, 7))
-
-
-@query(f"WITH {r.COORDINATES_SQL} SELECT 't' AS dim, CAST(count(DISTINCT value) AS INTEGER) AS shape, CAST(sum(DISTINCT value) AS DOUBLE) AS total FROM c")
-def store_coordinates(spark: SparkSession, d: str) -> DataFrame:
-    from chunkloom.operators.combine import union_coordinates
-
-    c = tree.coordinate_chunks(union_coordinates(r.coordinates(spark, d)))
-    return c.select("dim", "shape", F.aggregate("values", F.lit(0.0), lambda a, x: a + x).alias("total"))
+    e = r.table(spark, d, "events").select(F.col("event_id").alias("pos"))
+    return tree.tiled_steps(e, [0, 15, 45]).withColumn("batch", tree.batch_number(F.col("pos"), e.count(), 7))
 
 
 @query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'NaN' WHEN 1 THEN CAST(event_id AS VARCHAR) WHEN 2 THEN CASE WHEN event_id % 2 = 0 THEN 'false' ELSE 'true' END WHEN 3 THEN base64(encode(event_type)) END AS fill FROM events")

@@ -17,6 +17,11 @@ from math import prod
 Pair = tuple[str, bytes | tuple[int, int]]
 
 
+def _unpack(fmt: str, data, at: int) -> tuple:
+    """struct.unpack_from for anything that can be sliced."""
+    return struct.unpack(fmt, data[at : at + struct.calcsize(fmt)])
+
+
 def _json(x) -> bytes:
     return json.dumps(x, separators=(",", ":"), sort_keys=True).encode()
 
@@ -54,7 +59,7 @@ def netcdf3(data: bytes) -> Iterator[Pair]:
 
     def number(fmt: str) -> int:
         nonlocal pos
-        (x,) = struct.unpack_from(">" + fmt, data, pos)
+        (x,) = _unpack(">" + fmt, data, pos)
         pos += struct.calcsize(fmt)
         return x
 
@@ -127,6 +132,7 @@ def netcdf3(data: bytes) -> Iterator[Pair]:
 
 # --- FITS -------------------------------------------------------------------------------------
 
+#: BITPIX numbers of the format with their dtype. Fixed values.
 FITS_BITPIX = {8: "|u1", 16: ">i2", 32: ">i4", 64: ">i8", -32: ">f4", -64: ">f8"}
 #: Column letters of binary tables with dtype and size. Fixed values.
 FITS_COLUMNS = {"L": ("|S1", 1), "B": ("|u1", 1), "I": (">i2", 2), "J": (">i4", 4), "K": (">i8", 8), "A": ("|S", 1), "E": (">f4", 4), "D": (">f8", 8), "C": (">c8", 8), "M": (">c16", 16), "P": (">i4", 8), "Q": (">i8", 16)}
@@ -205,8 +211,9 @@ def fits(data: bytes, extension: int | str | list | None = None) -> Iterator[Pai
                 filters = [{"id": "ascii_table", "columns": fields}]
                 yield from _array(name, [rows], [rows], f"|V{width}", ["x"], attrs, filters=filters)
             else:
-                heap = any("P" in str(h[f"TFORM{i}"]) or "Q" in str(h[f"TFORM{i}"]) for i in range(1, h["TFIELDS"] + 1))
-                yield from _array(name, [rows], [rows], fields, ["x"], attrs, filters=[{"id": "heap", "start": h.get("THEAP", rows * width)}] if heap else None)
+                forms = [(h.get(f"TTYPE{i}", f"col{i}"), str(h[f"TFORM{i}"]).lstrip("0123456789")) for i in range(1, h["TFIELDS"] + 1)]
+                letters = {label: form[1] for label, form in forms if form[0] in "PQ"}
+                yield from _array(name, [rows], [rows], fields, ["x"], attrs, filters=[{"id": "heap", "start": h.get("THEAP", rows * width), "letters": letters}] if letters else None)
             yield f"{name}/0", (start, rows * width + h.get("PCOUNT", 0))
             continue
         filters = [{"id": "physical", "scale": h.get("BSCALE", 1.0), "zero": h.get("BZERO", 0.0)}] if "BSCALE" in h or "BZERO" in h else None
@@ -226,31 +233,31 @@ def tiff_directories(data: bytes) -> list[dict[int, tuple]]:
     end = {b"II": "<", b"MM": ">"}.get(data[:2])
     if end is None:
         raise ValueError("not a TIFF file")
-    big = struct.unpack_from(end + "H", data, 2)[0] == 43
+    big = _unpack(end + "H", data, 2)[0] == 43
     word, size = ("Q", 8) if big else ("I", 4)
-    out, todo = [], [struct.unpack_from(end + word, data, 8 if big else 4)[0]]
+    out, todo = [], [_unpack(end + word, data, 8 if big else 4)[0]]
     seen = set()
     while todo:
         at = todo.pop(0)
         if not at or at in seen:
             continue
         seen.add(at)
-        n = struct.unpack_from(end + ("Q" if big else "H"), data, at)[0]
+        n = _unpack(end + ("Q" if big else "H"), data, at)[0]
         at += 8 if big else 2
         tags = {}
         for _ in range(n):
-            tag, kind, count = struct.unpack_from(end + "HH" + word, data, at)
+            tag, kind, count = _unpack(end + "HH" + word, data, at)
             letters = TIFF_TYPES.get(kind, "B")
             total = struct.calcsize("=" + letters) * count
-            where = at + 4 + size if total <= size else struct.unpack_from(end + word, data, at + 4 + size)[0]
+            where = at + 4 + size if total <= size else _unpack(end + word, data, at + 4 + size)[0]
             if letters == "s":
                 tags[tag] = (data[where : where + count],)
             else:
-                v = struct.unpack_from(end + letters * count, data, where)
+                v = _unpack(end + letters * count, data, where)
                 tags[tag] = tuple(v[i] / v[i + 1] if v[i + 1] else 0.0 for i in range(0, len(v), 2)) if len(letters) == 2 else v
             at += 12 if not big else 20
         out.append(tags)
-        todo += [struct.unpack_from(end + word, data, at)[0], *tags.get(330, ())]
+        todo += [_unpack(end + word, data, at)[0], *tags.get(330, ())]
     return out
 
 
@@ -280,18 +287,23 @@ def tiff(data: bytes) -> Iterator[Pair]:
         cw, ch = (p[322][0], p[323][0]) if tiled else (w, min(h, p.get(278, (h,))[0]))
         offsets, sizes = (p[324], p[325]) if tiled else (p[273], p[279])
         shape, chunks, dims = [h, w], [ch, cw], ["Y", "X"]
-        if samples > 1:
+        planes = p.get(284, (1,))[0] == 2 and samples > 1
+        if planes:  # one chunk a plane and strip or tile
+            shape, chunks, dims = [samples, *shape], [1, *chunks], ["S", *dims]
+        elif samples > 1:
             shape, chunks, dims = shape + [samples], chunks + [samples], dims + ["S"]
-        if p.get(284, (1,))[0] == 2 and samples > 1:
-            raise ValueError("separate sample planes are not supported")
         codec = TIFF_CODECS.get(p.get(259, (1,))[0], {"id": f"tiff_{p.get(259, (1,))[0]}"})
-        filters = [{"id": "delta_rows"}] if p.get(317, (1,))[0] == 2 else None
+        predictor = p.get(317, (1,))[0]
+        if predictor not in (1, 2) or (predictor == 2 and planes):
+            raise ValueError(f"predictor {predictor} is not supported")
+        filters = [{"id": "delta_rows"}] if predictor == 2 else None
         name = str(i) if many else ""
         yield from _array(name, shape, chunks, dtype, dims, attrs if not many else None, 0, codec, filters)
-        across = -(-w // cw)
+        across, down = -(-w // cw), -(-h // ch)
         for k, (o, s) in enumerate(zip(offsets, sizes, strict=True)):
+            plane, k = divmod(k, across * down) if planes else (None, k)
             if s:
-                yield (f"{name}/" if name else "") + f"{k // across}.{k % across}" + (".0" if samples > 1 else ""), (o, s)
+                yield (f"{name}/" if name else "") + (f"{plane}." if planes else "") + f"{k // across}.{k % across}" + (".0" if samples > 1 and not planes else ""), (o, s)
 
 
 # --- GRIB -------------------------------------------------------------------------------------
@@ -311,7 +323,7 @@ def grib_messages(data: bytes, skip: int = 0) -> Iterator[tuple[int, int, int, i
             continue
         time = None
         if edition == 2 and size >= 37:
-            y, mo, d, h, mi, s = struct.unpack_from(">HBBBBB", data, at + 16 + 12)
+            y, mo, d, h, mi, s = _unpack(">HBBBBB", data, at + 16 + 12)
             time = f"{y:04d}-{mo:02d}-{d:02d} {h:02d}:{mi:02d}:{s:02d}"
         yield at, size, edition, data[at + 6] if edition == 2 else None, time
         at += size
@@ -320,38 +332,20 @@ def grib_messages(data: bytes, skip: int = 0) -> Iterator[tuple[int, int, int, i
             return
 
 
-# --- HDF4 -------------------------------------------------------------------------------------
-
-
-def hdf4_descriptors(data: bytes) -> Iterator[tuple[int, int, int, int, bool]]:
-    """(tag, ref, offset, length, extended) by walking the linked blocks of data descriptors."""
-    if data[:4] != b"\x0e\x03\x13\x01":
-        raise ValueError("not an HDF4 file")
-    at, seen = 4, set()
-    while at and at not in seen:
-        seen.add(at)
-        n, nxt = struct.unpack_from(">HI", data, at)
-        for k in range(n):
-            tag, ref, off, length = struct.unpack_from(">HHii", data, at + 6 + 12 * k)
-            if tag != 1:  # an empty one
-                yield tag & ~0x4000, ref, off, length, bool(tag & 0x4000)
-        at = nxt
-
-
 # --- archives ---------------------------------------------------------------------------------
 
 
 def archive_members(data: bytes, name: str) -> Iterator[tuple[str, int, int, int]]:
     """(member, offset of its bytes, stored size, method) of a zip or tar file, by its real local headers."""
     if name.endswith(".tar"):
-        with tarfile.open(fileobj=io.BytesIO(data)) as t:
+        with tarfile.open(fileobj=io.BytesIO(data[:])) as t:
             for m in t.getmembers():
                 if m.isfile():
                     yield m.name, m.offset_data, m.size, 0
         return
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
+    with zipfile.ZipFile(io.BytesIO(data[:])) as z:
         for i in z.infolist():
             if i.compress_type not in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED):
                 raise ValueError(f"unsupported compression of {i.filename}")
-            n, x = struct.unpack_from("<HH", data, i.header_offset + 26)
+            n, x = _unpack("<HH", data, i.header_offset + 26)
             yield i.filename, i.header_offset + 30 + n + x, i.compress_size, i.compress_type

@@ -1,9 +1,10 @@
 """A parser of HDF5 files after the published file format, for what scans need.
 
-Superblocks 0 to 3; object headers 1 and 2; groups by symbol table or compact links; contiguous,
-compact and chunked layouts (version 1 B-trees, single, implicit and unpaged fixed-array
-indexes); fixed, float, string, enum, array and compound types; filters that can be decoded.
-Anything else raises ``Unsupported`` for its dataset, which callers may turn into a skipped row.
+Superblocks 0 to 3; object headers 1 and 2; groups by symbol table, compact or dense links; compact
+and dense attributes; contiguous, compact and chunked layouts with every chunk index (version 1 and
+2 B-trees, single, implicit, fixed and extensible arrays, paged or not); fixed, float, string,
+enum, array, compound and variable-length string types; filters that can be decoded. Anything
+else raises ``Unsupported`` for its object, which error='skip' leaves out, one by one.
 """
 
 from __future__ import annotations
@@ -12,6 +13,9 @@ import struct
 from collections.abc import Iterator
 from math import prod
 
+import numpy as np
+
+from chunkloom.functions.codecs import BYTES, encode_chunk
 from chunkloom.operators.scanning import FILTERS, HIDDEN_ATTRS
 from chunkloom.sources.binary import Pair, _array, _group
 
@@ -42,6 +46,8 @@ class File:
             self.root = self.num(at + 12 + 3 * self.o, self.o)
         self.none = (1 << 8 * self.o) - 1
         self.names: dict[int, str] = {}
+        self.unlimited: int | None = None
+        self.limits: list[int] = []
         self.heaps: dict[int, dict[int, bytes]] = {}
 
     def num(self, at: int, size: int) -> int:
@@ -100,8 +106,13 @@ class File:
                     yield link
             elif kind == 0x02:
                 q = p + 2 + (8 if self.data[p + 1] & 1 else 0)
-                if self.num(q, self.o) != self.none:
-                    raise Unsupported("a group with densely stored links")
+                heap, names = self.num(q, self.o), self.num(q + self.o, self.o)
+                if heap != self.none and names != self.none:
+                    found = Heap(self, heap)
+                    for record, _ in self.records(names):
+                        link = self._link(found.place(record + 4)[0])
+                        if link:
+                            yield link
 
     def _link(self, p: int) -> tuple[str, int] | None:
         flags = self.data[p + 1]
@@ -142,6 +153,44 @@ class File:
             else:
                 yield child
 
+    # --- version 2 B-trees --------------------------------------------------------------------
+
+    def records(self, tree: int) -> Iterator[tuple[int, int]]:
+        """(place, size) of a version 2 B-tree's records, in order."""
+        p = tree + self.base
+        if self.data[p : p + 4] != b"BTHD":
+            raise ValueError("a broken version 2 B-tree")
+        node, size, depth = self.num(p + 6, 4), self.num(p + 10, 2), self.num(p + 12, 2)
+        root, n = self.num(p + 16, self.o), self.num(p + 16 + self.o, 2)
+        width = lambda x: max(1, (x.bit_length() + 7) // 8)
+        # Records that a node of each level holds at most, and all below it; they set the widths of counts.
+        most = [(node - 10) // size]
+        total = [most[0]]
+        pointer = [0]
+        for level in range(1, depth + 1):
+            pointer.append(self.o + width(most[0]) + (width(total[-1]) if level > 1 else 0))
+            most.append((node - 10 - pointer[level]) // (size + pointer[level]))
+            total.append((most[level] + 1) * total[-1] + most[level])
+
+        def walk(addr: int, count: int, level: int) -> Iterator[tuple[int, int]]:
+            q = addr + self.base
+            if self.data[q : q + 4] != (b"BTIN" if level else b"BTLF"):
+                raise ValueError("a broken version 2 B-tree")
+            q += 6
+            if not level:
+                yield from ((q + k * size, size) for k in range(count))
+                return
+            e = q + count * size
+            for k in range(count + 1):
+                child, below = self.num(e, self.o), self.num(e + self.o, width(most[0]))
+                e += pointer[level]
+                yield from walk(child, below, level - 1)
+                if k < count:
+                    yield q + k * size, size
+
+        if root != self.none and n:
+            yield from walk(root, n, depth)
+
     # --- types and values -----------------------------------------------------------------
 
     def datatype(self, p: int) -> tuple[object, int, int]:
@@ -196,9 +245,15 @@ class File:
         raise Unsupported(f"type class {kind}")
 
     def dataspace(self, p: int) -> list[int]:
-        version, rank = self.data[p], self.data[p + 1]
+        version, rank, flags = self.data[p], self.data[p + 1], self.data[p + 2]
         p += 8 if version == 1 else 4
-        return [self.num(p + k * self.l, self.l) for k in range(rank)]
+        shape = [self.num(p + k * self.l, self.l) for k in range(rank)]
+        most = [self.num(p + (rank + k) * self.l, self.l) for k in range(rank)] if flags & 1 else shape
+        endless = (1 << 8 * self.l) - 1
+        # Chunks are numbered along the sizes that axes may grow to; an endless axis has the present one.
+        self.unlimited = next((k for k, m in enumerate(most) if m == endless), None)
+        self.limits = [n if m == endless else m for n, m in zip(shape, most, strict=True)]
+        return shape
 
     def heap_object(self, addr: int, index: int) -> bytes:
         if addr not in self.heaps:
@@ -244,6 +299,25 @@ class File:
             return name, None
         return name, values[0] if len(values) == 1 else values
 
+    def attributes(self, messages: list[tuple[int, int, int]]) -> dict:
+        """All attributes of an object, wherever they are stored."""
+        out = {}
+        for kind, p, _ in messages:
+            if kind == 0x0C:
+                name, value = self.attribute(p)
+                out[name] = value
+            elif kind == 0x15:
+                q = p + 2 + (2 if self.data[p + 1] & 1 else 0)
+                heap, names = self.num(q, self.o), self.num(q + self.o, self.o)
+                if heap != self.none and names != self.none:
+                    found = Heap(self, heap)
+                    for record, _ in self.records(names):
+                        if self.data[record + 8] & 2:
+                            raise Unsupported("a shared attribute")
+                        name, value = self.attribute(found.place(record)[0])
+                        out[name] = value
+        return out
+
     def filters(self, p: int) -> list[tuple[int, list[int]]]:
         version, n = self.data[p], self.data[p + 1]
         p += 8 if version == 1 else 2
@@ -273,11 +347,12 @@ class File:
                 return dims[:-1], self._tree(addr, dims), None
             if kind == 1:
                 return shape, [([0] * len(shape), addr + self.base, -1, 0)] if addr != self.none else [], None
-            raise Unsupported("a compact layout of an early version")
+            n = self.num(p + 4 * rank, 4)
+            return shape, [], bytes(d[p + 4 * rank + 4 : p + 4 * rank + 4 + n])
         kind = d[p + 1]
         if kind == 0:
             n = self.num(p + 2, 2)
-            return shape, [], d[p + 4 : p + 4 + n]
+            return shape, [], bytes(d[p + 4 : p + 4 + n])
         if kind == 1:
             addr, size = self.num(p + 2, self.o), self.num(p + 2 + self.o, self.l)
             return shape, [([0] * len(shape), addr + self.base, size, 0)] if addr != self.none and size else [], None
@@ -292,7 +367,7 @@ class File:
         p += 5 + w * rank
         index, p = d[p], p + 1
         whole = prod(dims)
-        grid = [-(-s // c) for s, c in zip(shape, dims[:-1], strict=True)]
+        grid = [-(-s // c) for s, c in zip(self.limits, dims[:-1], strict=True)]
         place = lambda k: [k // prod(grid[i + 1 :]) % grid[i] for i in range(len(grid))]
         if index == 1:
             size, mask = whole, 0
@@ -304,24 +379,126 @@ class File:
             addr = self.num(p, self.o)
             return dims[:-1], [(place(k), addr + self.base + k * whole, whole, 0) for k in range(prod(grid))] if addr != self.none else [], None
         if index == 3:
-            return dims[:-1], self._fixed_array(self.num(p + 1, self.o), place, whole, filtered), None
+            return dims[:-1], self._listed(self._fixed_array(self.num(p + 1, self.o)), place, whole, filtered), None
+        if index == 4:
+            return dims[:-1], self._listed(self._extensible_array(self.num(p + 5, self.o)), self._unlimited_place(grid), whole, filtered), None
+        if index == 5:
+            return dims[:-1], self._scaled(self.num(p + 6, self.o), len(shape), whole), None
         raise Unsupported(f"chunk index type {index}")
 
-    def _fixed_array(self, addr: int, place, whole: int, filtered: bool) -> list[tuple[list[int], int, int, int]]:
+    def _unlimited_place(self, grid: list[int]):
+        """The index of a chunk by its number where one axis may grow: that axis counts slowest."""
+        grow = self.unlimited if self.unlimited is not None else 0
+        others = [i for i in range(len(grid)) if i != grow]
+
+        def place(k: int) -> list[int]:
+            out = [0] * len(grid)
+            for i in reversed(others):
+                out[i] = k % grid[i]
+                k //= grid[i]
+            out[grow] = k
+            return out
+
+        return place
+
+    def _listed(self, entries: Iterator[tuple[int, int, int]], place, whole: int, filtered: bool) -> list[tuple[list[int], int, int, int]]:
+        """Chunks of an array of entries: (number, place, size) of each, an address or address, bytes and mask."""
+        out = []
+        for k, e, size in entries:
+            a = self.num(e, self.o)
+            if a != self.none:
+                w = size - self.o - 4
+                out.append((place(k), a + self.base, self.num(e + self.o, w) if filtered else whole, self.num(e + self.o + w, 4) if filtered else 0))
+        return out
+
+    def _pages(self, first: int, at: int, n: int, bits: int, size: int, mask: int | None) -> Iterator[tuple[int, int, int]]:
+        """Entries in pages of 2**bits from ``at`` on; ``mask`` is the place of the bits of pages that are there."""
+        per = 1 << bits
+        for page in range(-(-n // per)):
+            count = min(per, n - page * per)
+            if mask is None or self.data[mask + page // 8] >> (7 - page % 8) & 1:
+                yield from ((first + page * per + k, at + k * size, size) for k in range(count))
+            at += per * size + 4
+
+    def _fixed_array(self, addr: int) -> Iterator[tuple[int, int, int]]:
         if addr == self.none:
-            return []
+            return
         p = addr + self.base
-        entry, bits, n = self.data[p + 6], self.data[p + 7], self.num(p + 8, self.l)
-        if n > 1 << bits:
-            raise Unsupported("a paged fixed array")
+        size, bits, n = self.data[p + 6], self.data[p + 7], self.num(p + 8, self.l)
         block = self.num(p + 8 + self.l, self.o)
-        q, out = block + self.base + 6 + self.o, []
-        for k in range(n):
-            e = q + k * entry
-            a = self.num(e, self.o)
+        if block == self.none:
+            return
+        q = block + self.base + 6 + self.o
+        if n <= 1 << bits:
+            yield from ((k, q + k * size, size) for k in range(n))
+            return
+        masks = -(-(-(-n // (1 << bits))) // 8)
+        yield from self._pages(0, q + masks + 4, n, bits, size, q)
+
+    def _extensible_array(self, addr: int) -> Iterator[tuple[int, int, int]]:
+        if addr == self.none:
+            return
+        p = addr + self.base
+        if self.data[p : p + 4] != b"EAHD":
+            raise ValueError("a broken extensible array")
+        size, most_bits, own, least, pointers, page_bits = (self.data[p + 6 + k] for k in range(6))
+        top = self.num(p + 12 + 4 * self.l, self.l)  # elements that are set
+        index = self.num(p + 12 + 6 * self.l, self.o)
+        if index == self.none:
+            return
+        offset = -(-most_bits // 8)
+        log = lambda x: x.bit_length() - 1
+        supers = 1 + most_bits - log(least)
+        shapes = [(1 << (u // 2), (1 << ((u + 1) // 2)) * least) for u in range(supers)]  # data blocks, elements of each
+        q = index + self.base + 6 + self.o
+        yield from ((k, q + k * size, size) for k in range(min(own, top)))
+        q += own * size
+        number = own
+
+        def data_block(a: int, first: int, n: int, mask: int | None) -> Iterator[tuple[int, int, int]]:
+            if a == self.none:
+                return
+            e = a + self.base + 6 + self.o + offset
+            if n > 1 << page_bits:
+                yield from self._pages(first, e + 4, n, page_bits, size, mask)
+            else:
+                yield from ((first + k, e + k * size, size) for k in range(n))
+
+        # The first blocks are named in the index block itself, the others in secondary blocks.
+        direct = 2 * log(pointers)
+        for u in range(min(direct, supers)):
+            blocks, n = shapes[u]
+            for _ in range(blocks):
+                yield from data_block(self.num(q, self.o), number, n, None)
+                q += self.o
+                number += n
+        for u in range(direct, supers):
+            blocks, n = shapes[u]
+            second = self.num(q, self.o)
+            q += self.o
+            if second != self.none and number < top:
+                e = second + self.base + 6 + self.o + offset
+                pages = -(-n // (1 << page_bits)) if n > 1 << page_bits else 0
+                masks = -(-pages // 8)
+                names = e + masks * blocks
+                for k in range(blocks):
+                    yield from data_block(self.num(names + k * self.o, self.o), number + k * n, n, e + k * masks if pages else None)
+            number += blocks * n
+
+    def _scaled(self, tree: int, rank: int, whole: int) -> list[tuple[list[int], int, int, int]]:
+        """Chunks of a version 2 B-tree: an address, bytes and mask if they are filtered, and the index."""
+        out = []
+        if tree == self.none:
+            return out
+        filtered = self.data[tree + self.base + 5] == 11
+        for r, size in self.records(tree):
+            a, at, n, mask = self.num(r, self.o), r + self.o, whole, 0
+            if filtered:
+                w = size - self.o - 4 - 8 * rank
+                n, mask = self.num(at, w), self.num(at + w, 4)
+                at += w + 4
             if a != self.none:
-                w = entry - self.o - 4
-                out.append((place(k), a + self.base, self.num(e + self.o, w) if filtered else whole, self.num(e + self.o + w, 4) if filtered else 0))
+                out.append(([self.num(at + 8 * i, 8) for i in range(rank)], a + self.base, n, mask))
         return out
 
     def _tree(self, addr: int, dims: list[int]) -> list[tuple[list[int], int, int, int]]:
@@ -342,6 +519,65 @@ class File:
         return out
 
 
+class Heap:
+    """A fractal heap: objects by their ids, in direct blocks under a root or a table of blocks."""
+
+    def __init__(self, f: File, addr: int):
+        self.f, p = f, addr + f.base
+        if f.data[p : p + 4] != b"FRHP":
+            raise ValueError("a broken fractal heap")
+        if f.num(p + 7, 2):
+            raise Unsupported("a filtered fractal heap")
+        largest = f.num(p + 10, 4)
+        p += 14 + 10 * f.l + 2 * f.o  # behind the numbers of huge, free, managed and tiny objects
+        self.width, self.start, self.direct = f.num(p, 2), f.num(p + 2, f.l), f.num(p + 2 + f.l, f.l)
+        self.bits = f.num(p + 2 + 2 * f.l, 2)
+        self.root, self.rows = f.num(p + 6 + 2 * f.l, f.o), f.num(p + 6 + 2 * f.l + f.o, 2)
+        self.offset = -(-self.bits // 8)
+        log = lambda x: x.bit_length() - 1
+        self.length = min((log(self.direct) + 7) // 8, log(largest) // 8 + 1)
+        self.blocks: list[tuple[int, int, int]] | None = None
+
+    def place(self, at: int) -> tuple[int, int]:
+        """(place, bytes) of the object whose id stands at ``at``."""
+        f = self.f
+        kind = f.data[at] >> 4 & 3
+        if kind == 2:
+            return at + 1, (f.data[at] & 15) + 1
+        if kind:
+            raise Unsupported("a huge object in a fractal heap")
+        where, size = f.num(at + 1, self.offset), f.num(at + 1 + self.offset, self.length)
+        if not self.rows:
+            return self.root + f.base + where, size
+        if self.blocks is None:
+            self.blocks = sorted(self._table(self.root, self.rows, 0))
+        for first, n, addr in self.blocks:
+            if first <= where < first + n:
+                return addr + f.base + where - first, size
+        raise ValueError("an object outside its heap")
+
+    def _size(self, row: int) -> int:
+        return self.start << max(0, row - 1)
+
+    def _table(self, addr: int, rows: int, first: int) -> Iterator[tuple[int, int, int]]:
+        """(first, bytes, address) of the direct blocks under an indirect one."""
+        f, q = self.f, addr + self.f.base
+        if f.data[q : q + 4] != b"FHIB":
+            raise ValueError("a broken fractal heap")
+        q += 5 + f.o + self.offset
+        for row in range(rows):
+            size = self._size(row)
+            for _ in range(self.width):
+                child = f.num(q, f.o)
+                q += f.o
+                if child != f.none:
+                    if size <= self.direct:
+                        yield first, size, child
+                    else:
+                        yield from self._table(child, (size // self.start // self.width).bit_length(), first)
+                first += size
+
+
 def _codecs(filters: list[tuple[int, list[int]]], mask: int, size: int) -> tuple[dict | None, list[dict] | None, bool]:
     """(compressor, filters, checksum at the end) of a pipeline; a set bit of the mask skips a filter."""
     chain, checksum = [], False
@@ -349,7 +585,7 @@ def _codecs(filters: list[tuple[int, list[int]]], mask: int, size: int) -> tuple
         if mask >> k & 1:
             continue
         name = FILTERS.get(number)
-        if name is None or name == "blosc":
+        if name is None:
             raise Unsupported(f"filter {number}")
         if name == "fletcher32":
             checksum = True
@@ -361,6 +597,18 @@ def _codecs(filters: list[tuple[int, list[int]]], mask: int, size: int) -> tuple
     return compressor, chain or None, checksum
 
 
+def _recoded(raw: bytes, pipeline: list, mask: int, size: int, meta: dict) -> bytes:
+    """A chunk that skips other filters than the first one, packed as the array's metadata say."""
+    compressor, filters, checksum = _codecs(pipeline, mask, size)
+    raw = raw[:-4] if checksum else raw
+    for codec in [*([compressor] if compressor else []), *reversed(filters or [])]:
+        raw = BYTES[codec["id"]](raw, **{k: v for k, v in codec.items() if k != "id"})
+    try:
+        return encode_chunk(np.frombuffer(raw, np.uint8), meta | {"dtype": "|u1"})
+    except ValueError as e:
+        raise Unsupported(f"chunks with different filters: {e}") from None
+
+
 def _fill(f: File, messages: list, dtype) -> object:
     for kind, p, _ in messages:
         if kind != 5 or not isinstance(dtype, str) or dtype[1] not in "iuf":
@@ -383,59 +631,130 @@ def _fill(f: File, messages: list, dtype) -> object:
     return 0 if isinstance(dtype, str) and dtype[1] in "iuf" else None
 
 
-def hdf5(data: bytes, error: str = "raise") -> Iterator[Pair]:
-    """Groups and datasets; error='skip' leaves out datasets that can't be read."""
+#: What becomes of variable-length strings.
+VLEN = ("embed", "encode", "null", "leave")
+
+
+def _strings(f: File, raw: bytes, size: int) -> list[bytes]:
+    """The strings that (length, heap, number) entries name."""
+    out = []
+    for k in range(0, len(raw) - size + 1, size):
+        n, heap, number = (int.from_bytes(raw[a:b], "little") for a, b in ((k, k + 4), (k + 4, k + 4 + f.o), (k + 4 + f.o, k + 8 + f.o)))
+        out.append(f.heap_object(heap, number)[:n] if n and heap not in (0, f.none) else b"")
+    return out
+
+
+def _string_rows(f: File, path: str, shape: list[int], dims: list[str], shown: dict, size: int, chunk: list[int], stored: list[tuple[str, bytes]], vlen: str) -> Iterator[Pair]:
+    """An array of variable-length strings by one of the policies.
+
+    embed: the strings themselves, inline, in cells of the longest one's width; encode: their ids, with
+    the strings in the codec; null: nothing but fill values; leave: the ids, 16 bytes each.
+    """
+    if vlen == "null":
+        yield from _array(path, shape, chunk, "|S1", dims, shown, "", None)
+        return
+    found = {key: _strings(f, raw, size) for key, raw in stored}
+    if vlen == "embed":
+        width = max([1, *(len(x) for v in found.values() for x in v)])
+        yield from _array(path, shape, chunk, f"|S{width}", dims, shown, "", None)
+        for key, v in found.items():
+            yield key, b"".join(x.ljust(width, b"\0") for x in v)
+        return
+    labels = {raw[i : i + size].hex(): x.decode("utf-8", "replace") for key, raw in stored for i, x in zip(range(0, len(raw), size), found[key], strict=False)}
+    yield from _array(path, shape, chunk, f"|S{size}", dims, shown, "", None, [{"id": "vlen_labels", "labels": labels}] if vlen == "encode" else None)
+    yield from stored
+
+
+def hdf5(data, error: str = "raise", vlen: str = "embed", preserve_linked: bool = False) -> Iterator[Pair]:
+    """Groups and datasets.
+
+    error='skip' leaves out objects that can't be read. vlen: a policy of ``_string_rows``.
+    preserve_linked repeats a dataset under every name that it has; else the first one counts.
+    """
+    if vlen not in VLEN:
+        raise ValueError(f"unknown policy {vlen}")
     f = File(data)
     found: list[tuple[str, int, list]] = []
 
-    def walk(addr: int, path: str, seen: frozenset) -> None:
-        messages = f.messages(addr)
+    def walk(addr: int, path: str, above: frozenset) -> None:
+        known = addr in f.names
         f.names.setdefault(addr, path)
-        found.append((path, addr, messages))
-        for name, child in f.children(messages):
-            if child not in seen and child not in f.names:
-                walk(child, f"{path}/{name}" if path else name, seen | {child})
+        try:
+            messages = f.messages(addr)
+            if known and not (preserve_linked and any(k == 0x08 for k, _, _ in messages)):
+                return
+            found.append((path, addr, messages))
+            links = list(f.children(messages))
+        except Unsupported:
+            if error == "raise":
+                raise
+            return
+        for name, child in links:
+            if child not in above:
+                walk(child, f"{path}/{name}" if path else name, above | {child})
 
     walk(f.root, "", frozenset({f.root}))
-    phony: dict[int, int] = {}
     for path, _addr, messages in found:
-        kinds = {k: p for k, p, _ in messages}
-        attrs = dict(f.attribute(p) for k, p, _ in messages if k == 0x0C)
-        shown = {k: v for k, v in attrs.items() if k not in HIDDEN_ATTRS and k != "_FillValue" and v is not None and v != "DIMENSION_SCALE"}
-        if 0x08 not in kinds or 0x03 not in kinds:
-            yield from _group(path, shown)
-            continue
         try:
-            shape = f.dataspace(kinds[0x01])
-            dtype, size, _ = f.datatype(kinds[0x03])
-            pipeline = f.filters(kinds[0x0B]) if 0x0B in kinds else []
-            chunk, places, inline = f.chunks(kinds[0x08], shape, bool(pipeline))
-            masks = {m for *_, m in places}
-            if len(masks) > 1:
-                raise Unsupported("chunks with different filters")
-            compressor, filters, checksum = _codecs(pipeline, masks.pop() if masks else 0, size)
-            lists = attrs.get("DIMENSION_LIST")
-            dims = []
-            for k, n in enumerate(shape):
-                refs = lists[k] if isinstance(lists, list) and k < len(lists) and isinstance(lists[k], list) else []
-                if len(refs) > 1:
-                    raise Unsupported("several dimension scales on one axis")
-                if refs:
-                    dims.append(f.names.get(refs[0], "").rsplit("/", 1)[-1])
-                elif attrs.get("CLASS") == "DIMENSION_SCALE":
-                    dims.append(path.rsplit("/", 1)[-1])
-                else:
-                    dims.append(f"phony_dim_{phony.setdefault(n, len(phony))}")
-            fill = attrs.get("_FillValue")
-            fill = _fill(f, messages, dtype) if not isinstance(fill, (int, float)) else "NaN" if fill != fill else fill
-            rows = list(_array(path, shape, chunk, dtype, dims, shown, fill, compressor, filters))
-            if inline is not None:
-                rows.append((f"{path}/" + (".".join("0" * len(shape)) or "0"), inline))
-            for index, at, n, _ in places:
-                n = prod(shape) * size if n < 0 else n
-                rows.append((f"{path}/" + (".".join(map(str, index)) or "0"), (at, n - 4 if checksum else n)))
+            rows = list(_object(f, path, messages, vlen))
         except Unsupported:
             if error == "raise":
                 raise
             continue
         yield from rows
+
+
+def _object(f: File, path: str, messages: list, vlen: str) -> Iterator[Pair]:
+    kinds = {k: p for k, p, _ in messages}
+    attrs = f.attributes(messages)
+    shown = {k: v for k, v in attrs.items() if k not in HIDDEN_ATTRS and k != "_FillValue" and v is not None and v != "DIMENSION_SCALE"}
+    if 0x08 not in kinds or 0x03 not in kinds:
+        yield from _group(path, shown)
+        return
+    shape = f.dataspace(kinds[0x01])
+    string = f.data[kinds[0x03]] & 15 == 9
+    if string and f.data[kinds[0x03] + 1] & 15 != 1:
+        raise Unsupported("sequences of variable length")
+    dtype, size, _ = f.datatype(kinds[0x03])
+    pipeline = f.filters(kinds[0x0B]) if 0x0B in kinds else []
+    chunk, places, inline = f.chunks(kinds[0x08], shape, bool(pipeline))
+    first = places[0][3] if places else 0
+    compressor, filters, checksum = _codecs(pipeline, first, size)
+    lists = attrs.get("DIMENSION_LIST")
+    dims = []
+    for k in range(len(shape)):
+        refs = lists[k] if isinstance(lists, list) and k < len(lists) and isinstance(lists[k], list) else []
+        if len(refs) == 1:
+            dims.append(f.names.get(refs[0], ""))
+        elif attrs.get("CLASS") == "DIMENSION_SCALE":
+            dims.append(path)
+        elif refs:
+            raise Unsupported("several dimension scales on one axis")
+        else:
+            dims.append(f"phony_dim_{k}")
+    zero = f"{path}/" + (".".join("0" * len(shape)) or "0")
+    whole = prod(shape) * size
+    if string:
+        stored = [(zero, inline)] if inline is not None else []
+        for index, at, n, mask in places:
+            raw = bytes(f.data[at : at + (whole if n < 0 else n)])
+            c, fl, sums = _codecs(pipeline, mask, size)
+            raw = raw[:-4] if sums else raw
+            for codec in [*([c] if c else []), *reversed(fl or [])]:
+                raw = BYTES[codec["id"]](raw, **{k: v for k, v in codec.items() if k != "id"})
+            stored.append((f"{path}/" + (".".join(map(str, index)) or "0"), raw))
+        yield from _string_rows(f, path, shape, dims, shown, size, chunk, stored, vlen)
+        return
+    fill = attrs.get("_FillValue")
+    fill = _fill(f, messages, dtype) if not isinstance(fill, (int, float)) else "NaN" if fill != fill else fill
+    yield from _array(path, shape, chunk, dtype, dims, shown, fill, compressor, filters)
+    if inline is not None:
+        yield zero, inline
+    meta = {"compressor": compressor, "filters": filters}
+    for index, at, n, mask in places:
+        n = whole if n < 0 else n
+        key = f"{path}/" + (".".join(map(str, index)) or "0")
+        if mask != first:
+            yield key, _recoded(bytes(f.data[at : at + n]), pipeline, mask, size, meta)
+        else:
+            yield key, (at, n - 4 if checksum else n)

@@ -113,7 +113,7 @@ def test_cells(spark, tmp_path):
     raw, a, b = new_file()
     (tmp_path / "f.h5").write_bytes(raw)
     refs = scan.scan(spark, str(tmp_path), "hdf5", inline_threshold=30).drop("error")
-    got = {(r.var, *r.position): r.value for r in dataset.open_cells(spark, refs, str(tmp_path)).collect()}
+    got = {(r.var, *r.position): r.value for r in dataset.open_cells(refs).collect()}
     want = {("a", *i): float(v) for i, v in np.ndenumerate(a)} | {("g/b", *i): v for i, v in np.ndenumerate(b) if not (i[0] >= 2 and i[1] >= 3)}
     assert {k: v for k, v in got.items() if v} == {k: v for k, v in want.items() if v}
 

@@ -1,3 +1,5 @@
+import datetime as dt
+import gzip
 import io
 import json
 import struct
@@ -9,7 +11,7 @@ import numpy as np
 import pytest
 
 from chunkloom.functions import codecs
-from chunkloom.sources import binary, dataset, references, scan
+from chunkloom.sources import binary, dataset, grib2, hdf4, references, scan
 from chunkloom.streaming.idx_ingest import ingest
 
 
@@ -45,7 +47,7 @@ def test_netcdf3_round_trip(spark, tmp_path, version):
     raw, x, a, b = netcdf(version)
     (tmp_path / "f.nc").write_bytes(raw)
     refs = scan.scan(spark, str(tmp_path), "netcdf3", inline_threshold=0).drop("error")
-    got = {(r.var, tuple(r.position)): r.value for r in dataset.open_cells(spark, refs, str(tmp_path)).collect()}
+    got = {(r.var, tuple(r.position)): r.value for r in dataset.open_cells(refs).collect()}
     want = {("x", (i,)): v for i, v in enumerate(x)} | {("a", (i,)): v for i, v in enumerate(a)} | {("b", i): v for i, v in np.ndenumerate(b)}
     assert got == {k: float(v) for k, v in want.items()}
     inline = scan.scan(spark, str(tmp_path), "netcdf3").filter("key = 'x/0'").first()
@@ -110,7 +112,7 @@ def test_grib_framing():
 def test_hdf4_descriptor_blocks():
     second = struct.pack(">HI", 1, 0) + struct.pack(">HHii", 720 | 0x4000, 5, 99, 10)
     first = struct.pack(">HI", 2, 34) + struct.pack(">HHii", 30, 1, 50, 4) + struct.pack(">HHii", 1, 0, -1, -1)
-    assert list(binary.hdf4_descriptors(b"\x0e\x03\x13\x01" + first + second)) == [(30, 1, 50, 4, False), (720, 5, 99, 10, True)]
+    assert list(hdf4.descriptors(b"\x0e\x03\x13\x01" + first + second)) == [(30, 1, 50, 4, False), (720, 5, 99, 10, True)]
 
 
 def test_archives(spark, tmp_path):
@@ -139,7 +141,7 @@ def test_zarr2(spark, tmp_path):
     for i, part in enumerate(([1, 2], [3, 9])):
         (tmp_path / f"v/{i}").write_bytes(zlib.compress(np.array(part, "<i4").tobytes()))
     refs = scan.scan_zarr2(spark, str(tmp_path))
-    assert sorted((r.position[0], r.value) for r in dataset.open_cells(spark, refs, str(tmp_path)).collect()) == [(0, 1.0), (1, 2.0), (2, 3.0)]
+    assert sorted((r.position[0], r.value) for r in dataset.open_cells(refs).collect()) == [(0, 1.0), (1, 2.0), (2, 3.0)]
     (tmp_path / ".zgroup").write_text('{"zarr_format": 3}')
     with pytest.raises(ValueError, match="V2"):
         scan.scan_zarr2(spark, str(tmp_path))
@@ -149,21 +151,56 @@ def test_json_round_trip(spark, tmp_path):
     doc = {"version": 1, "templates": {"u": "s3://b/x.nc"}, "refs": {".zgroup": '{"zarr_format":2}', "v/.zarray": '{"shape":[4],"chunks":[2]}', "v/0": ["{{u}}", 10, 20], "v/1": ["{{u}}"], "w/0": "base64:AAH/", "t": 'te"xt'}}
     (tmp_path / "a.json").write_text(json.dumps(doc))
     refs = references.read_json(spark, [str(tmp_path / "a.json")])
-    references.write_json(refs, str(tmp_path / "out"))
-    again = json.loads(next((tmp_path / "out").glob("part*")).read_text())
+    references.write_json(refs, str(tmp_path / "out.json"))
+    again = json.loads((tmp_path / "out.json").read_text())
     want = {k: ([v[0].replace("{{u}}", "s3://b/x.nc"), *v[1:]] if isinstance(v, list) else v) for k, v in doc["refs"].items()}
     assert again == {"version": 1, "refs": want}
-    references.write_json(refs, str(tmp_path / "gz"), compression="gzip")
-    back = references.read_json(spark, [str(next((tmp_path / "gz").glob("part*.gz")))])
-    assert back.count() == len(doc["refs"])
+    references.write_json(refs, str(tmp_path / "out.json.gz"), compression="gzip")
+    assert json.loads(gzip.decompress((tmp_path / "out.json.gz").read_bytes())) == again
+    back = references.read_json(spark, str(tmp_path / "out.json.gz"))
+    assert back.count() == len(doc["refs"]) and {r.ds_idx for r in back.collect()} == {0}
+
+
+def test_json_numbers_inputs(spark, tmp_path):
+    for n in ("a", "b", "ba"):
+        (tmp_path / f"{n}.json").write_text(json.dumps({"v/0": [f"{n}.nc", 1, 2]}))
+    numbers = lambda p: {r.path: r.ds_idx for r in references.read_json(spark, p).collect()}
+    assert numbers(str(tmp_path / "*.json")) == numbers(str(tmp_path)) == {"a.nc": 0, "b.nc": 1, "ba.nc": 2}
+    assert numbers([str(tmp_path / f"{n}.json") for n in ("ba", "a", "b")]) == {"ba.nc": 0, "a.nc": 1, "b.nc": 2}
+
+
+def test_json_generators(spark, tmp_path):
+    doc = {
+        "version": 1,
+        "templates": {"u": "server.domain/path", "f": "{{c}}"},
+        "gen": [{"key": "gen_key{{i}}", "url": "http://{{u}}_{{i}}", "offset": "{{(i + 1) * 1000}}", "length": "1000", "dimensions": {"i": {"stop": 5}}}, {"key": "w{{i}}.{{n}}", "url": "{{u}}/{{n}}", "dimensions": {"i": {"start": 2, "stop": 6, "step": 2}, "n": ["x", "y"]}}],
+        "refs": {"key0": "data", "key1": ["http://target_url", 10000, 100], "key2": ["http://{{u}}", 10000, 100], "key3": ["http://{{f(c='text')}}", 10000, 100], "key4": ["http://target_url"]},
+    }
+    (tmp_path / "g.json").write_text(json.dumps(doc))
+    got = {r.key: (r.path, r.offset, r.size, r.raw and bytes(r.raw)) for r in references.read_json(spark, str(tmp_path / "g.json")).collect()}
+    want = {f"gen_key{i}": (f"http://server.domain/path_{i}", (i + 1) * 1000, 1000, None) for i in range(5)}
+    want |= {f"w{i}.{n}": (f"server.domain/path/{n}", 0, 0, None) for i in (2, 4) for n in "xy"}
+    want |= {"key0": (None, None, None, b"data"), "key1": ("http://target_url", 10000, 100, None), "key2": ("http://server.domain/path", 10000, 100, None), "key3": ("http://text", 10000, 100, None), "key4": ("http://target_url", 0, 0, None)}
+    assert got == want
+    with pytest.raises(ValueError, match="not allowed"):
+        references.evaluate("__import__('os')", {})
 
 
 def test_parquet_records(spark, tmp_path):
-    refs = spark.createDataFrame([(f"v/{i}", "p", i * 10, 10, None) for i in range(7)], "key string, path string, offset bigint, size bigint, raw binary")
-    arrays = spark.createDataFrame([("v", [7], [1])], "var string, shape array<bigint>, chunks array<bigint>")
-    references.write_parquet(refs, arrays, str(tmp_path), record_size=4)
-    got = sorted((r.rec_no, r.row_no, r.offset) for r in references.read_parquet(spark, str(tmp_path)).collect())
-    assert got == [(i // 4, i % 4, i * 10) for i in range(7)]
+    meta = [(f"{v}/.zarray", None, None, None, json.dumps({"shape": shape, "chunks": [1] * len(shape)}).encode()) for v, shape in (("v", [7]), ("g/w", [2, 3]))]
+    rows = [(f"v/{i}", "p", i * 10, 10, None) for i in range(7) if i != 2] + [("g/w/1.2", None, None, None, b"xy")]
+    refs = spark.createDataFrame(meta + rows, "key string, path string, offset bigint, size bigint, raw binary")
+    arrays = spark.createDataFrame([("v", [7], [1]), ("g/w", [2, 3], [1, 1])], "var string, shape array<bigint>, chunks array<bigint>")
+    references.write_parquet(refs, arrays, str(tmp_path / "r"), record_size=4)
+    assert sorted(p.name for p in (tmp_path / "r/v").glob("refs*")) == ["refs.0.parq", "refs.1.parq"]
+    import pyarrow.parquet as pq
+
+    assert pq.read_table(tmp_path / "r/v/refs.0.parq").column("offset").to_pylist() == [0, 10, 0, 30]
+    assert json.loads((tmp_path / "r/.zmetadata").read_text()) == {"metadata": {k: json.loads(m) for k, *_, m in meta}, "record_size": 4}
+    back = references.read_parquet(spark, str(tmp_path / "r")).filter("index is not null").collect()
+    assert sorted((r.key, r.path, r.offset, r.raw and bytes(r.raw)) for r in back) == sorted((k, p, o or 0, r) for k, p, o, _, r in rows)
+    one = references.read_parquet(spark, str(tmp_path / "r"), ["g/w"]).filter("index is not null").collect()
+    assert [(r.key, r["index"], r.rec_no, r.row_no) for r in one] == [("g/w/1.2", [1, 2], 1, 1)]
 
 
 def test_codecs():
@@ -188,3 +225,128 @@ def test_index_files_and_stream(spark, tmp_path):
     ingest(spark, str(tmp_path / "in"), mapping, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     r = spark.read.parquet(str(tmp_path / "out")).first()
     assert (r.varname, r.offset, r.length, str(r.valid_time)) == ("t", 0, 50, "2024-01-02 01:00:00")
+
+
+def test_more_codecs():
+    a = np.arange(500, dtype="<i4")
+    for flags, codec in ((0x61, lambda b: zlib.compress(b)), (0x81, lambda b: codecs.PACK["zstd"](b)), (0x21, lambda b: __import__("pyarrow").compress(b, codec="lz4_raw", asbytes=True))):
+        mixed = codecs.PACK["shuffle"](a.tobytes(), elementsize=4)
+        parts = [mixed[k * 500 : (k + 1) * 500] for k in range(4)] if not flags & 16 else [mixed]
+        body = b"".join(struct.pack("<i", len(p)) + p for p in map(codec, parts))
+        raw = bytes([2, 1, flags, 4]) + struct.pack("<III", a.nbytes, a.nbytes, 20 + len(body)) + struct.pack("<I", 20) + body
+        assert codecs.BYTES["blosc"](raw) == a.tobytes()
+    assert codecs.BYTES["packbits"](bytes([2, 65, 66, 67, 254, 88, 128])) == b"ABCXXX"
+    # 9-bit codes: clear, 1, 2, the pair of them, end.
+    bits = "".join(f"{c:09b}" for c in (256, 1, 2, 258, 257))
+    assert codecs.BYTES["lzw"](int(bits.ljust(48, "0"), 2).to_bytes(6, "big")) == b"\1\2\1\2"
+    meta = {"dtype": "|u1", "chunks": [2, 3], "shape": [2, 3], "filters": [{"id": "delta_rows"}]}
+    assert codecs.decode_chunk(bytes([1, 1, 1, 5, 0, 255]), meta).tolist() == [[1, 2, 3], [5, 5, 4]]
+    meta = {"dtype": "<i4", "chunks": [2, 2], "shape": [2, 2], "compressor": {"id": "zlib"}, "filters": [{"id": "shuffle", "elementsize": 4}]}
+    b = np.array([[1, 2], [3, -4]], "<i4")
+    assert (codecs.decode_chunk(codecs.encode_chunk(b, meta), meta) == b).all()
+
+
+def test_table_columns(spark, tmp_path):
+    rows = np.array([(1, 2, 0, b"ab"), (3, 1, 4, b"cd")], [("n", ">i4"), ("c", ">i4"), ("o", ">i4"), ("s", "S2")])
+    heap = np.array([7, 8, 9], ">i2").tobytes()
+    cards = [_card("XTENSION", "'BINTABLE'"), _card("BITPIX", 8), _card("NAXIS", 2), _card("NAXIS1", 14), _card("NAXIS2", 2), _card("PCOUNT", 6), _card("GCOUNT", 1), _card("TFIELDS", 3), _card("TFORM1", "'J       '"), _card("TTYPE1", "'n       '"), _card("TFORM2", "'1PI(2)  '"), _card("TTYPE2", "'v       '"), _card("TFORM3", "'2A      '"), _card("TTYPE3", "'s       '")]
+    one = _pad(b"".join([_card("SIMPLE", "T"), _card("BITPIX", 8), _card("NAXIS", 0), b"END".ljust(80)]), b" ")
+    (tmp_path / "t.fits").write_bytes(one + _pad(b"".join([*cards, b"END".ljust(80)]), b" ") + _pad(rows.tobytes() + heap))
+    refs = scan.scan(spark, str(tmp_path), "fits").drop("error")
+    got = {(r.var, *r.position): r.value for r in dataset.open_cells(refs).collect()}
+    assert got == {("1/n", 0): 1.0, ("1/n", 1): 3.0}
+    assert {(r.var, *r.position): r.value for r in dataset.open_texts(refs).collect()} == {("1/s", 0): "ab", ("1/s", 1): "cd"}
+    meta = json.loads(bytes(refs.filter("key = '1/.zarray'").first().raw))
+    chunk = dataset.chunk_rows(refs).filter("var = '1'").first().raw
+    assert [v.tolist() for v in codecs.decode_chunk(bytes(chunk), meta)["v"]] == [[7, 8], [9]]
+
+
+# --- GRIB -------------------------------------------------------------------------------------
+
+
+def _section(n, body):
+    return struct.pack(">IB", len(body) + 5, n) + body
+
+
+def grib_message(values, parameter=(0, 0), level=(103, 2), run=(2024, 1, 2, 6), step=3, mask=None, template=0, packed=None, statistic=None):
+    """A message of edition 2 on a regular grid from 10 N to 8 N and 20 E to 22 E, one degree apart."""
+    ny, nx = values.shape
+    one = _section(1, struct.pack(">HHBBBHBBBBBBB", 7, 0, 2, 1, 1, *run, 0, 0, 0, 1))
+    grid = struct.pack(">BIBBH", 0, nx * ny, 0, 0, 0) + bytes([6]) + b"\0" * 15 + struct.pack(">IIIIIIBIIIIB", nx, ny, 0, 0xFFFFFFFF, 10_000_000, 20_000_000, 48, (10 - ny + 1) * 1_000_000, (20 + nx - 1) * 1_000_000, 1_000_000, 1_000_000, 0)
+    three = _section(3, grid)
+    product = struct.pack(">HHBBBBBHBBIBBiBBi", 0, 0 if statistic is None else 8, *parameter, 2, 0, 0, 0, 0, 1, step, level[0], 0, level[1], 255, 0, 0)
+    if statistic is not None:
+        product += struct.pack(">HBBBBB", 2024, 1, 2, 12, 0, 0) + struct.pack(">BI", 1, 0) + struct.pack(">BBBIBI", statistic, 2, 1, 3, 255, 0)
+    four = _section(4, product)
+    bitmap = b"" if mask is None else np.packbits(mask.reshape(-1)).tobytes()
+    six = _section(6, bytes([255 if mask is None else 0]) + bitmap)
+    v = values.reshape(-1) if mask is None else values[mask]
+    if template == 0:  # value = (10 + x) / 10 in 12 bits
+        x = np.rint(v * 10 - 10).astype(int)
+        bits = "".join(f"{i:012b}" for i in x)
+        body = int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+        five = _section(5, struct.pack(">IHfhhBB", len(v), 0, 10.0, 0, 1, 12, 0))
+    else:
+        five, body = packed
+    data = one + three + four + five + six + _section(7, body) + b"7777"
+    return b"GRIB\0\0\0\2" + struct.pack(">Q", 16 + len(data)) + data
+
+
+def complex_packing(x, order):
+    """Section 5 and the body of section 7 for integers x: groups of four, all differences in 8 bits."""
+    d = x.astype(int)
+    for _ in range(order):
+        d = np.diff(d)
+    low = int(d.min()) if order else 0
+    v = np.concatenate([np.zeros(order, int), d - low]).astype(int)
+    groups = [v[k : k + 4] for k in range(0, len(v), 4)]
+    five = struct.pack(">IHfhhBB", len(x), 3 if order else 2, 0.0, 0, 0, 8, 0) + struct.pack(">BBII", 1, 0, 0, 0)
+    five += struct.pack(">IBBIBIB", len(groups), 8, 0, 4, 1, len(groups[-1]), 0)
+    sign = lambda i: (abs(i) | (0x8000 if i < 0 else 0)).to_bytes(2, "big")
+    body = b""
+    if order:
+        five += struct.pack(">BB", order, 2)
+        body = b"".join(sign(int(i)) for i in x[:order]) + sign(low)
+    body += bytes(len(groups))  # the groups' references, all 0; widths and lengths take no bits
+    body += bytes(int(i) for i in v)
+    return _section(5, five), body
+
+
+@pytest.mark.parametrize("order", [0, 1, 2])
+def test_grib_complex_packing(order):
+    x = np.array([[5, 9, 30, 31], [28, 20, 7, 4], [3, 8, 60, 61]])
+    got = grib2.decoded(grib_message(x.astype(float), template=2, packed=complex_packing(x.reshape(-1), order)), "t")
+    assert got.tolist() == x.tolist()
+
+
+def test_grib_values_and_keys():
+    x = np.array([[1.5, 2.0, 9.9], [4.0, 100.0, 3.3]])
+    mask = np.array([[True, False, True], [True, True, True]])
+    raw = grib_message(x, mask=mask)
+    got = grib2.decoded(raw, "t2m")
+    assert np.isnan(got[0, 1]) and np.allclose(got[mask], x[mask])
+    assert grib2.decoded(raw, "latitude").tolist() == [10.0, 9.0] and grib2.decoded(raw, "longitude").tolist() == [20.0, 21.0, 22.0]
+    k = grib2.keys(next(grib2.fields(raw)))
+    assert (k["varname"], k["typeOfLevel"], k["level"], k["stepType"], k["step_s"]) == ("t2m", "heightAboveGround", 2.0, "instant", 3 * 3600)
+    assert k["time"] == dt.datetime(2024, 1, 2, 6) and k["valid_time"] == dt.datetime(2024, 1, 2, 9)
+    rain = grib2.keys(next(grib2.fields(grib_message(x, (1, 8), (1, 0), statistic=1))))
+    assert (rain["varname"], rain["stepType"], rain["step_s"], rain["typeOfLevel"]) == ("tp", "accum", 6 * 3600, "surface")
+    high = grib2.keys(next(grib2.fields(grib_message(x, (2, 2), (100, 50_000)))))
+    assert (high["varname"], high["typeOfLevel"], high["level"]) == ("u", "isobaricInhPa", 500.0)
+    with pytest.raises(grib2.Unsupported, match="data template 40"):
+        grib2.decoded(raw.replace(struct.pack(">IHf", 5, 0, 10.0), struct.pack(">IHf", 5, 40, 10.0)), "t2m")
+
+
+def test_grib_from_scan_to_cells(spark, tmp_path):
+    x = np.arange(6, dtype=float).reshape(2, 3) + 1
+    body = b"".join(grib_message(x + 10 * s + lev / 1000, (2, 2), (100, lev * 100), step=s) for s in (0, 3) for lev in (500, 850)) + grib_message(x, (9, 99))
+    (tmp_path / "f.grib2").write_bytes(b"x" * 5 + body)
+    m = scan.scan_grib(spark, str(tmp_path))
+    assert [(r.varname, r.level, r.step_h) for r in m.orderBy("idx").collect()][:4] == [("u", 500.0, 0.0), ("u", 850.0, 0.0), ("u", 500.0, 3.0), ("u", 850.0, 3.0)]
+    assert scan.scan_grib(spark, str(tmp_path), skip=2).count() == 2 and scan.scan_grib(spark, str(tmp_path), keep={"level": [500.0], "varname": "u"}).count() == 2
+    refs = scan.scan_grib_refs(spark, str(tmp_path), inline_threshold=0)
+    first = refs.filter("idx = 1").collect()
+    assert {r.key for r in first} >= {".zgroup", ".zattrs", "u/.zarray", "u/0.0", "isobaricInhPa/0", "time/0", "step/0", "valid_time/0", "latitude/0", "longitude/0"}
+    one = dataset.open_cells(refs.filter("idx = 3").select("key", "path", "offset", "size", "raw"), ["u", "latitude"])
+    got = {(r.var, *r.position): r.value for r in one.collect()}
+    assert got["u", 1, 2] == pytest.approx(x[1, 2] + 30.5, abs=0.051) and got["latitude", 0] == 10.0
