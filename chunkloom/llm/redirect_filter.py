@@ -48,13 +48,19 @@ def without_dots(path: Column) -> Column:
     return F.when(path.contains("/."), F.concat(F.lit("/"), F.array_join(F.concat(kept, last), "/"))).otherwise(path)
 
 
-def node_of(url: Column) -> Column:
-    """host, path without dot segments, and query; null without ``://``."""
-    rest = F.regexp_extract(url, r"://[^/?#]*([^#]*)", 1)
-    path = F.regexp_extract(rest, r"^([^?]*)", 1)
-    query = F.regexp_extract(rest, r"^[^?]*(.*)$", 1)
-    path = F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))
-    return F.when(F.instr(url, "://") > 0, F.concat(host_of(url), without_dots(path), query))
+def bound(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are worked out once a row: the optimizer would write them out again at each of their uses, and does not across an exploded array of one."""
+    one = df.withColumn("__cl_bound", F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+    return one.select(*df.columns, *[F.col(f"__cl_bound.{n}").alias(n) for n in columns])
+
+
+def with_node(df: DataFrame, url: str, name: str) -> DataFrame:
+    """Add host, path without dot segments, and query of a url column; null without ``://``."""
+    d = bound(df, __cl_rest=F.regexp_extract(url, r"://[^/?#]*([^#]*)", 1))
+    path = F.regexp_extract("__cl_rest", r"^([^?]*)", 1)
+    d = bound(d, __cl_path=F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path)))
+    node = F.concat(host_of(F.col(url)), without_dots(F.col("__cl_path")), F.regexp_extract("__cl_rest", r"^[^?]*(.*)$", 1))
+    return bound(d, **{name: F.when(F.instr(url, "://") > 0, node)}).select(*df.columns, name)
 
 
 def rule_of(host: Column, path: Column, rules: tuple = RULES) -> Column:
@@ -93,7 +99,7 @@ def _attribute(attributes: Column, name: str) -> Column:
 
 
 def resolve(base: Column, ref: Column) -> Column:
-    """An absolute URL from a reference found on page ``base``; ``node_of`` removes its dot segments."""
+    """An absolute URL from a reference found on page ``base``; ``with_node`` removes its dot segments."""
     scheme = F.regexp_extract(base, r"^([^:/?#]*):", 1)
     origin = F.regexp_extract(base, r"^([^:/?#]*://[^/?#]*)", 1)
     folder = F.regexp_extract(base, r"^([^:/?#]*://[^/?#]*(?:/(?:[^?#]*/)?)?)", 1)
@@ -113,18 +119,21 @@ def link_edges(pages: DataFrame) -> DataFrame:
     low = F.lower(F.col("html"))
     p = pages.select("url", "html").filter(F.col("url").contains("://") & (low.contains("canonical") | low.contains("refresh")))
     tags = F.regexp_extract_all(F.regexp_replace("html", _HIDDEN, ""), F.lit(_TAG), F.lit(0))
-    # An array of one binds its entry, so that tags and attributes are not taken out again for each use.
-    p = p.select("url", F.explode(F.array(tags)).alias("tags")).filter(F.size("tags") > 0)
+    p = bound(p, tags=tags).filter(F.size("tags") > 0).drop("html")
     parsed = F.transform("tags", lambda t: F.struct(F.lower(F.substring(t, 2, 4)).alias("kind"), F.regexp_extract_all(t, F.lit(_ATTRIBUTE), F.lit(0)).alias("a")))
-    p = p.select("url", F.explode(F.array(parsed)).alias("tags"))
-    based = F.get(F.filter("tags", lambda t: (t["kind"] == "base") & (_attribute(t["a"], "href") != "")), F.lit(0))
-    p = p.select("url", F.when(based.isNotNull(), resolve(F.col("url"), _attribute(based["a"], "href"))).otherwise(F.col("url")).alias("base"), F.explode("tags").alias("t"))
+    p = bound(p, parsed=parsed).drop("tags")
+    based = F.get(F.filter("parsed", lambda t: (t["kind"] == "base") & (_attribute(t["a"], "href") != "")), F.lit(0))
+    p = bound(p, named=_attribute(based["a"], "href"))
+    p = bound(p, base=F.when(F.coalesce("named", F.lit("")) != "", resolve(F.col("url"), F.col("named"))).otherwise(F.col("url")))
+    p = p.select("url", "base", F.explode("parsed").alias("t"))
     a = F.col("t.a")
-    canonical = (F.col("t.kind") == "link") & F.array_contains(F.split(F.lower(_attribute(a, "rel")), r"\s+"), "canonical")
-    refresh = (F.col("t.kind") == "meta") & (F.lower(_attribute(a, "http-equiv")) == "refresh")
-    ref = F.when(canonical, _attribute(a, "href")).when(refresh, F.trim(F.regexp_extract(_attribute(a, "content"), _TARGET, 1)))
-    p = p.select("url", "base", ref.alias("ref")).filter("ref <> ''")
-    return p.select(node_of(F.col("url")).alias("u"), node_of(resolve(F.col("base"), F.col("ref"))).alias("v")).filter("u is not null and v is not null")
+    p = bound(p, kind=F.col("t.kind"), rel=F.lower(_attribute(a, "rel")), equiv=F.lower(_attribute(a, "http-equiv")), href=_attribute(a, "href"), content=_attribute(a, "content"))
+    canonical = (F.col("kind") == "link") & F.array_contains(F.split("rel", r"\s+"), "canonical")
+    refresh = (F.col("kind") == "meta") & (F.col("equiv") == "refresh")
+    ref = F.when(canonical, F.col("href")).when(refresh, F.trim(F.regexp_extract("content", _TARGET, 1)))
+    p = bound(p, ref=ref).filter("ref <> ''")
+    p = bound(p, target=resolve(F.col("base"), F.col("ref"))).select("url", "target")
+    return with_node(with_node(p, "url", "u"), "target", "v").select("u", "v").filter("u is not null and v is not null")
 
 
 def judge(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
@@ -135,8 +144,9 @@ def judge(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
     cc = cc.withColumn("blocks", (verdict_of(rule_of(host, path, rules), rules) == "block").cast("int"))
     blocked = cc.groupBy("component").agg(F.max("blocks").alias("blocked"))
     cc = scratch.keep(cc.select("node", "component").join(blocked, "component"))
-    p = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), node_of(F.col("url")).alias("node"))
-    p = p.join(cc, "node", "left").withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
+    p = with_node(pages.select("page_id", "url"), "url", "node")
+    p = p.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "node").join(cc, "node", "left")
+    p = bound(p, rule=rule_of(F.col("host"), F.col("path"), rules))
     method = F.when(F.col("blocked") == 1, "block").otherwise("allow")
     return p.select("page_id", "host", "path", "rule", F.coalesce(verdict_of(F.col("rule"), rules), method).alias("verdict"), "component")
 
