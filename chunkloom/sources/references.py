@@ -219,7 +219,8 @@ def write_parquet(refs: DataFrame, arrays: DataFrame, path: str, record_size: in
     fs = work.getFileSystem(conf)
     # Folder names keep slashes out; one task writes one record file.
     full = full.withColumn("at", F.hex(F.encode("var", "UTF-8")))
-    full = full.repartition("var", "rec_no").sortWithinPartitions("var", "rec_no", "row_no")
+    # The writer asks for the order of its folders' columns; rows keep theirs only behind these.
+    full = full.repartition("at", "rec_no").sortWithinPartitions("at", "rec_no", "row_no")
     full.select("at", "rec_no", "path", "offset", "size", "raw").write.partitionBy("at", "rec_no").parquet(work.toString())
     for status in fs.globStatus(hadoop(f"{work.toString()}/at=*/rec_no=*/part-*")) or ():
         p = status.getPath()
