@@ -285,3 +285,116 @@ def test_gradients(monkeypatch):
         down = toxicity_gru.gradients(m, *args)[0]
         m[k][at] = kept
         assert v[at] == pytest.approx((up - down) / 2e-5, rel=1e-3, abs=1e-6), k
+
+
+# --- rows that share an id, or have none ------------------------------------------------------
+
+
+def test_join_keeps_links_of_repeated_ids(spark):
+    r = np.random.default_rng(8)
+    w, v, lone = ([f"k{x}" for x in r.integers(0, 10**6, 60)] for _ in range(3))
+    near = lambda t: " ".join([*t[:-1], "changed"])
+    rows = [(1, " ".join(w)), (1, " ".join(v)), (2, near(w)), (3, near(v)), (None, near(w)), (None, " ".join(lone)), (9, near(lone)), (None, "x y"), (None, None)]
+    got = chosen_path.similarity_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((x.doc_id is None, x.doc_id or 0, x.class_id or 0, x.n_links) for x in got) == [
+        (False, 1, 1, 1), (False, 1, 1, 2), (False, 2, 1, 2), (False, 3, 1, 1), (False, 9, 9, 1), (True, 0, 0, 0), (True, 0, 0, 0), (True, 0, 1, 2), (True, 0, 9, 1),
+    ]
+    kept = chosen_path.keep_one(spark.createDataFrame([*rows, (2, near(w)), (1, " ".join(w))], "doc_id long, text string")).collect()
+    left = [x.text for x in kept]
+    assert len([t for t in left if t in (" ".join(w), near(w))]) == 1 and len([t for t in left if t in (" ".join(v), near(v))]) == 1
+    assert near(lone) in left and " ".join(lone) not in left and {"x y", None} <= set(left) and len(left) == 5
+
+
+def test_vectors_of_repeated_ids(spark):
+    rows = [(1, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (2, [1.0, 0.01], 1), (3, [0.01, 1.0], 1), (None, [1.0, 0.02], 1), (None, [-1.0, 0.0], 1)]
+    got = vector_graph.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in got) == [(0, 0, 0, True), (0, 2, 1, False), (1, 1, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 1, 1, False)]
+
+
+def test_recall_on_the_whole_table(spark):
+    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    a = vector_graph.audit(e, vector_graph.near_duplicates(e)).first()
+    assert a.recall >= 0.9
+
+
+# --- whole operators against plain loops ------------------------------------------------------
+
+
+def test_substrings_against_a_loop(spark):
+    docs = spark.read.parquet(f"{BIG}/documents.parquet").select("doc_id", "text")
+    text = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    parts, first = {}, {}
+    for i in sorted(text):
+        doc, _, _, n, d = chunk_dedup.chunks(np.frombuffer(text[i], np.uint8), np.array([0, len(text[i])]))
+        parts[i] = n.tolist(), list(zip(d.tolist(), d[1:].tolist(), strict=False))
+        for x in parts[i][1]:
+            first.setdefault(x, i)
+    want = {}
+    for i, (n, pairs) in parts.items():
+        cut, k = 0, 0
+        while k < len(pairs):
+            j = k
+            while j < len(pairs) and first[pairs[j]] != i:
+                j += 1
+            run = sum(n[k : j + 1]) if j > k else 0
+            cut += run if run >= chunk_dedup.MIN_RUN_WORDS else 0
+            k = max(j, k + 1)
+        want[i] = cut
+    got = {r.doc_id: (r["__cl_n_cut_words"], r["__cl_n_words"]) for r in chunk_dedup.dedup_substrings(docs).collect()}
+    assert {i: c for i, (c, _) in got.items()} == want and sum(c > 0 for c in want.values()) > 50
+    assert {i: n for i, (_, n) in got.items()} == {i: sum(n) for i, (n, _) in parts.items()}
+
+
+def test_network_against_a_loop():
+    texts = [b"you are an idiot and more of it", b"", b"clean", " ".join(f"w{i % 7} word{i}" for i in range(60)).encode()]
+    w = toxicity_gru.Words(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+    m = toxicity_gru.new_model(w.hashes[::2], np.random.default_rng(1).standard_normal(len(w.hashes[::2])), np.zeros(toxicity_gru.TRIGRAMS))
+    H, x = toxicity_gru.HIDDEN, toxicity_gru.vectors(m, w)
+    sig = lambda v: 1 / (1 + np.exp(-v))
+
+    def states(words, d):
+        h, out = np.zeros(H), []
+        for k in words if d == "f" else words[::-1]:
+            g, u = x[k] @ m["W" + d] + m["c" + d], h @ m["U" + d]
+            z, r = sig(g[:H] + u[:H]), sig(g[H : 2 * H] + u[H : 2 * H])
+            h = (1 - z) * h + z * np.tanh(g[2 * H :] + r * u[2 * H :])
+            out.append(h)
+        return np.array(out if d == "f" else out[::-1])
+
+    best = np.full(len(texts), m["b"][0], float)
+    for doc in range(len(texts)):
+        n = w.words_of_doc[doc]
+        at = w.words_of_doc[:doc].sum()
+        logits = []
+        for s in range(0, max(1, n - toxicity_gru.WINDOW + toxicity_gru.STRIDE), toxicity_gru.STRIDE):
+            words_ = w.word[at + s : at + min(n, s + toxicity_gru.WINDOW)]
+            if len(words_):
+                both = np.concatenate([states(words_, "f"), states(words_, "b")], axis=1)
+                e = np.exp(both @ m["va"] - (both @ m["va"]).max())
+                logits.append((e / e.sum()) @ both @ m["u"] + m["b"][0])
+        if logits:
+            best[doc] = max(logits)
+    assert np.allclose(toxicity_gru.document_logits(m, w)[0], best, atol=1e-4)
+
+
+def test_ranking_against_all_pairs():
+    r = np.random.default_rng(9)
+    x, y = r.standard_normal((60, 5)), np.repeat([0, 1], 30)
+    x[y == 1, 0] += 1.5
+    model = pairwise_quality.fit(x, y, pairs=4000)
+    z = pairwise_quality._expand(x, model["mean"], model["dev"])
+    pairs = (z[y == 1][:, None] - z[y == 0][None]).reshape(-1, z.shape[1])
+    loss = lambda v: np.log1p(np.exp(-np.clip(pairs @ v, -30, 30))).mean() + 5e-4 * v @ v
+    v = np.zeros(z.shape[1])
+    for _ in range(3000):
+        v += 0.2 * ((pairs / (1 + np.exp(pairs @ v))[:, None]).mean(0) - 1e-3 * v)
+    assert loss(v) <= loss(model["w"]) <= loss(v) + 0.02 and loss(model["w"]) < 0.6
+
+
+def test_conflicting_labels(spark):
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 1), (2, 1), (3, None), (3, 0)], "doc_id long, toxic int")
+    free = {r.doc_id: r.y for r in pairwise_quality.trainable(labels, "toxic").collect()}
+    assert free == {i: y for i, y in ((2, 1), (3, 0)) if zlib.crc32(str(i).encode()) % 3 != 1}
+    docs = spark.createDataFrame([(2, "b"), (2, "a"), (3, None)], "doc_id long, text string")
+    got = pairwise_quality.training_rows(docs, labels, "toxic", 10).collect()
+    assert {r.doc_id: r.text for r in got} == {i: t for i, t in ((2, "a"), (3, None)) if i in free}
