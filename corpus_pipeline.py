@@ -5,6 +5,11 @@ group linked at Jaccard 0.8 or more on five-word shingles; substring_dedup cuts
 that an earlier document has; decontamination drops documents with windows of two benchmark
 items or more and cuts the hit words out of the others; packing lays the documents out in
 sequences of 2048 tokens.
+
+Null and empty texts pass all stages and are packed as one closing token each. Of repeated rows one
+stays where they have words, all where they have none. Rows without a doc_id are told apart by
+their text. An empty table gives an empty result. All stages but the last return the columns they
+were given, whatever their names; names that begin with ``__cl_`` are reserved.
 """
 
 from __future__ import annotations
