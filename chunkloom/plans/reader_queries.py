@@ -7,11 +7,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chunkloom.functions import calendars, encoding, keys
-from chunkloom.functions.codecs import encode_chunk
+from chunkloom.functions.codecs import encode_chunk, numpy_dtype
 from chunkloom.operators import fmrc, multi, rewrite
 from chunkloom.operators.combine import number_values
 from chunkloom.plans import recipes as r
@@ -62,13 +64,42 @@ def cells_mean(spark: SparkSession, d: str) -> DataFrame:
     return c.groupBy(F.col("var").cast("int").alias("label"), F.get("position", F.lit(1)).alias("x")).agg(F.round(F.avg("value"), 9).alias("mean"))
 
 
+#: Records in a chunk of the table of events, and cells along an axis that has no end: chunks that no task wrote hold nothing.
+EVENT_ROWS, ENDLESS = 4096, 1 << 31
+#: The records: whether one is there (the last of a chunk may not be), whether its event_id is, and the stored value.
+EVENT_FIELDS = [["used", "|b1"], ["known", "|b1"], ["event_id", "<i8"], ["value", "<f8"]]
+
+
+def _event_refs(spark: SparkSession, events: DataFrame) -> DataFrame:
+    """(key, path, offset, size, raw) of a table of records (task, row) from (event_id, value): whole numbers below the values, to be scaled when read.
+
+    Rows are placed by the task that reads them and not by event_id, so ids may be null, negative, repeated or far apart, and no row is shuffled.
+    """
+    meta = _meta([ENDLESS, ENDLESS], [1, EVENT_ROWS], EVENT_FIELDS, filters=[{"id": "physical", "field": "value", "scale": 2.0, "zero": 1.5}])
+    stored = meta | {"filters": None}  # the scale is of the physical values; what is stored is packed only
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, n = TaskContext.get().partitionId(), 0
+        for b in batches:
+            for first in range(0, b.num_rows, EVENT_ROWS):
+                ids, values = b.slice(first, EVENT_ROWS).columns
+                chunk = np.zeros((1, EVENT_ROWS), numpy_dtype(EVENT_FIELDS))
+                part = chunk[0, : len(ids)]
+                part["used"], part["known"] = True, ids.is_valid().to_numpy(zero_copy_only=False)
+                part["event_id"], part["value"] = ids.fill_null(0).to_numpy(), np.floor(values.to_numpy())
+                yield pa.RecordBatch.from_pydict({"key": [f"events/{task}.{n}"], "raw": pa.array([encode_chunk(chunk, stored)], pa.binary())})
+                n += 1
+
+    none = [F.lit(None).cast("string").alias("path"), F.lit(None).cast("bigint").alias("offset"), F.lit(None).cast("bigint").alias("size")]
+    chunks = events.select("event_id", "value").mapInArrow(run, "key string, raw binary").select("key", *none, "raw")
+    return chunks.union(spark.range(1).select(F.lit("events/.zarray").alias("key"), *none, F.lit(json.dumps(meta).encode())))
+
+
 @query("SELECT event_id, CAST(floor(value) AS DOUBLE) * 2.0 + 1.5 AS physical FROM events WHERE value IS NOT NULL")
 def scale_offset(spark: SparkSession, d: str) -> DataFrame:
     e = r.table(spark, d, "events").filter("value is not null")
-    top = e.agg(F.max("event_id")).first()[0]
-    meta = _meta([top + 1], [1], "<f8", filters=[{"id": "physical", "scale": 2.0, "zero": 1.5}], fill_value="NaN")
-    refs = _chunk_refs(e.select(F.lit("v").alias("var"), F.col("event_id").alias("number"), F.array(F.floor("value").cast("double")).alias("values")), meta)
-    return dataset.open_cells(refs).select(F.get("position", F.lit(0)).alias("event_id"), F.col("value").alias("physical"))
+    rows = dataset.open_records(_event_refs(spark, e), {"used": "boolean", "known": "boolean", "event_id": "bigint", "value": "double"})
+    return rows.filter("used").select(F.when(F.col("known"), F.col("event_id")).alias("event_id"), F.col("value").alias("physical"))
 
 
 @query(f"WITH {r.MANIFEST_SQL} SELECT ds_idx, key, path, \"offset\", size FROM m")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkloom.functions.codecs import cells, texts
+from chunkloom.functions.codecs import cells, records, texts
 from chunkloom.functions.keys import is_meta
 from chunkloom.sources.ranges import fill_raw
 from chunkloom.sources.references import with_keys
@@ -36,14 +36,20 @@ def whole_file_bytes(spark: SparkSession, refs: DataFrame, files: str | list[str
     return out.withColumn("raw", F.coalesce("raw", "__bytes")).select(refs.columns)
 
 
+def _metadata(refs: DataFrame, name: str) -> DataFrame:
+    """The metadata rows of one name, with their keys' parts."""
+    return with_keys(refs.filter(is_meta(F.col("key")))).filter(F.element_at(F.split("key", "/"), -1) == name)
+
+
+def _arrays(refs: DataFrame) -> DataFrame:
+    """(var, meta json) of each array; reads the references once."""
+    return _metadata(refs, ".zarray").select("var", F.col("raw").cast("string").alias("meta"))
+
+
 def array_metadata(refs: DataFrame) -> DataFrame:
     """(var, meta json, dims) of each array."""
-    k = with_keys(refs.filter(is_meta(F.col("key"))))
-    text = F.col("raw").cast("string")
-    last = F.element_at(F.split("key", "/"), -1)
-    a = k.filter(last == ".zarray").select("var", text.alias("meta"))
-    z = k.filter(last == ".zattrs").select("var", F.try_variant_get(F.try_parse_json(text), "$._ARRAY_DIMENSIONS", "array<string>").alias("dims"))
-    return a.join(z, "var", "left")
+    dims = F.try_variant_get(F.try_parse_json(F.col("raw").cast("string")), "$._ARRAY_DIMENSIONS", "array<string>")
+    return _arrays(refs).join(_metadata(refs, ".zattrs").select("var", dims.alias("dims")), "var", "left")
 
 
 def chunk_rows(refs: DataFrame, variables: list[str] | None = None) -> DataFrame:
@@ -51,8 +57,7 @@ def chunk_rows(refs: DataFrame, variables: list[str] | None = None) -> DataFrame
     k = with_keys(refs).filter("index is not null")
     if variables is not None:
         k = k.filter(F.col("var").isin(variables))
-    meta = array_metadata(refs).select("var", "meta")
-    rows = k.select("var", "index", "path", "offset", "size", "raw").join(meta, "var")
+    rows = k.select("var", "index", "path", "offset", "size", "raw").join(_arrays(refs), "var")
     return chunk_bytes(rows).select("var", "meta", "index", "raw")
 
 
@@ -66,6 +71,11 @@ def open_texts(refs: DataFrame, variables: list[str] | None = None) -> DataFrame
     return texts(chunk_rows(refs, variables))
 
 
+def open_records(refs: DataFrame, fields: dict[str, str], variables: list[str] | None = None) -> DataFrame:
+    """(var, fields...) of the reference set's arrays of records: a row a record, with the named fields of the given types."""
+    return records(chunk_rows(refs, variables), fields)
+
+
 def with_coordinates(values: DataFrame, coords: DataFrame, dims: list[str]) -> DataFrame:
     """Put coordinate values beside positions: coords(dim, ord, value)."""
     out = values

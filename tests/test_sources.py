@@ -147,6 +147,17 @@ def test_zarr2(spark, tmp_path):
         scan.scan_zarr2(spark, str(tmp_path))
 
 
+def test_records_as_rows(spark):
+    meta = {"dtype": [["n", ">i4"], ["m", "<f8"], ["b", "|b1"], ["s", "|S2"]], "chunks": [2], "shape": [3], "compressor": {"id": "zlib"}, "filters": [{"id": "physical", "field": "n", "scale": 0.5, "zero": 1.0}]}
+    rows = np.array([(1, 2.5, True, b"ab"), (-2, np.nan, False, b""), (3, 0.0, True, b"c"), (9, 9.0, True, b"out")], codecs.numpy_dtype(meta["dtype"]))
+    chunks = [(f"t/{i}", codecs.encode_chunk(rows[2 * i : 2 * i + 2], meta | {"filters": None})) for i in range(2)]
+    refs = spark.createDataFrame([(k, None, None, None, raw) for k, raw in [*chunks, ("t/.zarray", json.dumps(meta).encode())]], "key string, path string, offset bigint, size bigint, raw binary")
+    got = dataset.open_records(refs, {"b": "boolean", "n": "double", "m": "double"}, ["t"]).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, [("t", True, 1.5, 2.5), ("t", False, 0.0, float("nan")), ("t", True, 2.5, 0.0)]))
+    cells = {(r.var, *r.position): r.value for r in dataset.open_cells(refs).collect()}
+    assert cells == {("t/n", 0): 1.5, ("t/n", 1): 0.0, ("t/n", 2): 2.5, ("t/m", 0): 2.5, ("t/m", 2): 0.0, ("t/b", 0): 1.0, ("t/b", 1): 0.0, ("t/b", 2): 1.0}
+
+
 def test_json_round_trip(spark, tmp_path):
     doc = {"version": 1, "templates": {"u": "s3://b/x.nc"}, "refs": {".zgroup": '{"zarr_format":2}', "v/.zarray": '{"shape":[4],"chunks":[2]}', "v/0": ["{{u}}", 10, 20], "v/1": ["{{u}}"], "w/0": "base64:AAH/", "t": 'te"xt'}}
     (tmp_path / "a.json").write_text(json.dumps(doc))
